@@ -29,5 +29,5 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[...,
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    target = to_arrow_schema(_parse_datatype_string(schema), timezone="UTC")
+    target = to_arrow_schema(_parse_datatype_string(schema))
     return df.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, schema)
