@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import repetition, tokenizer
+from gleanery.llm import lines, repetition, tokenizer
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,27 @@ def p3_repetition(spark, d):
 @query("p8_ids")
 def p8_ids(spark, d):
     return tokenizer.encoded(table(spark, d, "documents"))
+
+
+_STANDING = r"""
+WITH texts AS (
+  SELECT result_id, fetched_text AS t, regexp_replace(lower(regexp_extract(CASE WHEN trim(coalesce(source_url_used, '')) != '' THEN source_url_used ELSE canonical_url END,
+    '^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@\s]*@)?([^/?#:\s]*)', 1)), '^www\.', '') AS domain
+  FROM scrape_results WHERE fetched_text != ''),
+lines AS (
+  SELECT result_id, domain, t, unnest(range(len(string_split(t, chr(10))))) AS line_no, regexp_replace(lower(unnest(string_split(t, chr(10)))), '[^\p{L}]+', '', 'g') AS line
+  FROM texts WHERE domain != ''),
+total AS (SELECT domain, count(DISTINCT t) AS n FROM texts GROUP BY domain),
+standing AS (
+  SELECT domain, line FROM lines JOIN total USING (domain) WHERE line != '' GROUP BY domain, line, n HAVING count(DISTINCT t) >= 5 AND count(DISTINCT t) * 10 >= n)
+"""
+
+
+@query("p4_found", _STANDING + "SELECT result_id, line_no::INT AS line_no FROM lines JOIN standing USING (domain, line)")
+def p4_found(spark, d):
+    return lines.occurrences(table(spark, d, "scrape_results"))
+
+
+@query("p4_cleaned")
+def p4_cleaned(spark, d):
+    return lines.cleaned(table(spark, d, "scrape_results"))
