@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import gbt
-from gleanery.llm.arrow import map_rows
+from gleanery.llm.arrow import bounded_sample, map_rows
 
 RUN, LEAST_WORDS, LEAST_SHARE = 5, 30, 0.3
 #: Rows the trees are trained on, at most.
@@ -110,8 +110,8 @@ def _anchors(x: np.ndarray) -> np.ndarray:
 
 
 def train(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> gbt.FlatTrees:
-    """Trees on a sample of at most ``sample`` texts, chosen by the hash of their key, so alike on every run."""
-    rows = df.where(F.length(text) > 0).select(text).orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(sample).collect()
+    """Trees on a sample of at most ``sample`` texts, chosen by the hash of their key."""
+    rows = bounded_sample(df.where(F.length(text) > 0).select(key, text), key, sample).select(text).collect()
     x = statistics([r[0] for r in rows])
     x = np.concatenate([x, _anchors(x)])
     return gbt.fit(x, is_case(x).astype(float), MONOTONE, {0: [float(LEAST_WORDS)], 1: [LEAST_SHARE]})
