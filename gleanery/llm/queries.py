@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanery.llm import lines, repetition, tokenizer
+from gleanery.llm import layout, lines, repetition, tokenizer
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +61,25 @@ def p4_found(spark, d):
 @query("p4_cleaned")
 def p4_cleaned(spark, d):
     return lines.cleaned(table(spark, d, "scrape_results"))
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    return layout.judged(table(spark, d, "scrape_results")).select("result_id", F.explode("furniture").alias("line_no"))
+
+
+@query("p5_body")
+def p5_body(spark, d):
+    return layout.judged(table(spark, d, "scrape_results")).select("result_id", "body")
+
+
+@query("p6_found")
+def p6_found(spark, d):
+    return layout.judged(table(spark, d, "scrape_results")).where("leftover").select("result_id")
+
+
+@query("p6_clean")
+def p6_clean(spark, d):
+    """The table without the rows of p6_found; rows without a text stay."""
+    results = table(spark, d, "scrape_results")
+    return results.join(p6_found(spark, d), "result_id", "left_anti")
