@@ -28,7 +28,7 @@ from gleanery.functions import html
 from gleanery.functions.urls import page_domain
 from gleanery.llm.arrow import map_rows
 
-LEAST_STORIES, SHARE = 6, 0.0005
+LEAST_STORIES, SHARE = 6, 0.0003
 #: Lines with names in them recur by chance more often, so their frames need a larger share.
 FRAME_STORIES, FRAME_SHARE = 10, 0.003
 APART, LEAD, LISTHEAD, ERROR = 0.3, 0.8, 0.85, 0.5
