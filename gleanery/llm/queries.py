@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import layout, lines, repetition, tokenizer
+from gleanery.llm import layout, lines, reading, repetition, tokenizer
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,16 @@ def p6_clean(spark, d):
     """The table without the rows of p6_found; rows without a text stay."""
     results = table(spark, d, "scrape_results")
     return results.join(p6_found(spark, d), "result_id", "left_anti")
+
+
+@query("p10_found")
+def p10_found(spark, d):
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "labels")).select("doc_id", "reading_level")
+
+
+@query("p10_profile")
+def p10_profile(spark, d):
+    """How many documents and words of each source stand at each level."""
+    levels = reading.levels(table(spark, d, "documents"), table(spark, d, "labels"))
+    source = table(spark, d, "documents").select("doc_id", F.lower("source").alias("source"))
+    return levels.join(source, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.sum("words").alias("words"))
