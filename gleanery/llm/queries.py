@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import layout, lines, reading, repetition, tokenizer
+from gleanery.llm import layout, leakage, lines, reading, repetition, tokenizer
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,15 @@ def p10_profile(spark, d):
     levels = reading.levels(table(spark, d, "documents"), table(spark, d, "labels"))
     source = table(spark, d, "documents").select("doc_id", F.lower("source").alias("source"))
     return levels.join(source, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.sum("words").alias("words"))
+
+
+@query("p9_found")
+def p9_found(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+@query("p9_items")
+def p9_items(spark, d):
+    """The items that leaked, with the number of documents that give them away and of those that hold the answer as well."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.sum(F.col("answer").cast("long")).alias("with_answer"))
