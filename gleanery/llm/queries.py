@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import layout, leakage, lines, reading, repetition, tokenizer
+from gleanery.llm import layout, leakage, lines, ranking, reading, repetition, tokenizer
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,27 @@ def p9_items(spark, d):
     """The items that leaked, with the number of documents that give them away and of those that hold the answer as well."""
     found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.sum(F.col("answer").cast("long")).alias("with_answer"))
+
+
+_RANKING = """
+WITH long AS (
+  SELECT row_id, 'extraction_score' AS score, '' AS population, extraction_score::DOUBLE AS value FROM scrape_results WHERE row_id IS NOT NULL AND fetched_text != ''
+  UNION ALL
+  SELECT row_id, score, population, value FROM (
+    SELECT row_id, coalesce(rubric_version, '') AS population, unnest(['quality_score', 'summary_alignment_score', 'source_reliability_score']) AS score,
+      unnest([quality_score::DOUBLE, summary_alignment_score::DOUBLE, source_reliability_score::DOUBLE]) AS value
+    FROM ai_results WHERE row_id IS NOT NULL AND upper(trim(coalesce(ai_verification_status, ''))) != 'API_ERROR') WHERE value BETWEEN 0 AND 100),
+one AS (SELECT row_id, score, population, median(value) AS value FROM long WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
+centre AS (SELECT score, population, median(value) AS centre FROM one GROUP BY ALL),
+spread AS (SELECT score, population, any_value(centre) AS centre, median(abs(value - centre)) AS mad, avg(abs(value - centre)) AS mean_off FROM one JOIN centre USING (score, population) GROUP BY ALL),
+bounded AS (
+  SELECT row_id, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(value - centre) / CASE WHEN mad > 0 THEN 1.4826::DOUBLE * mad WHEN mean_off > 0 THEN 1.2533::DOUBLE * mean_off ELSE 1.0::DOUBLE END)) AS b
+  FROM one JOIN spread USING (score, population)),
+combined AS (SELECT row_id, round(exp(avg(ln(b))), 12) AS value FROM bounded GROUP BY row_id)
+SELECT row_id, row_number() OVER (ORDER BY value DESC, row_id) AS rank FROM combined
+"""
+
+
+@query("p7_ranking", _RANKING)
+def p7_ranking(spark, d):
+    return ranking.ranking(table(spark, d, "scrape_results"), table(spark, d, "ai_results")).select("row_id", "rank")
