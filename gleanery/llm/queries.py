@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import layout, leakage, lines, ranking, reading, repetition, tokenizer
+from gleanery.llm import layout, leakage, lines, ranking, reading, repetition, tokenizer, truncation
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,15 @@ SELECT row_id, row_number() OVER (ORDER BY value DESC, row_id) AS rank FROM comb
 @query("p7_ranking", _RANKING)
 def p7_ranking(spark, d):
     return ranking.ranking(table(spark, d, "scrape_results"), table(spark, d, "ai_results")).select("row_id", "rank")
+
+
+@query("p2_found")
+def p2_found(spark, d):
+    return truncation.fields(table(spark, d, "scrape_results")).where("cut").select("result_id", "field")
+
+
+@query("p2_sources")
+def p2_sources(spark, d):
+    """How often each domain's values are cut, by field."""
+    rows = truncation.fields(table(spark, d, "scrape_results"))
+    return rows.groupBy("domain", "field").agg(F.count("*").alias("n_values"), F.sum(F.col("cut").cast("long")).alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("share"))
