@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from gleanery.operators import nested
+from gleanery.functions import text as X
+from gleanery.functions.constants import AUTH, BOT, DROP, JUNK, TRUE_NAMES, UK_NAMES, US_NAMES, WS
+from gleanery.functions.urls import canonical_url, url_points
+from gleanery.operators import dedupe, enrich, extract, health, nested, rank, views
+from gleanery.plans import pipeline
+from gleanery.plans.options import Options
+from gleanery.sources import io
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +64,518 @@ def p1_edges(spark, d):
 @query("p1_fields")
 def p1_fields(spark, d):
     return nested.fields(nested.objects(_bridge(spark, d)))
+
+
+# --- texts: cleaning, measures, scores, labels -------------------------------------------------------------------
+
+
+def _quoted(names: list[str]) -> str:
+    return "(" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + ")"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^[{WS}]+|[{WS}]+\z', '', 'g')"
+
+
+def _clean(x: str) -> str:
+    return _strip(rf"regexp_replace(regexp_replace(replace(regexp_replace(coalesce({x}, ''), '[{DROP}]', '', 'g'), chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _hits(x: str, phrases: list[str]) -> str:
+    return "(" + " + ".join(f"contains(lower({x}), '{p}')::INT" for p in phrases) + ")"
+
+
+def _measures(table_: str, key: str, text: str, status: str) -> str:
+    """SQL of all measures of a text, as a list of named tables that ends in ``judged``."""
+    return rf"""
+WITH cleaned AS (SELECT {key}, {status} AS status, {_clean(text)} AS t FROM {table_}),
+split AS (SELECT *, string_split_regex(t, '\n[{WS}]*\n') AS paras FROM cleaned),
+marked AS (SELECT *, list_filter(list_transform(paras, lambda p: left(regexp_replace(lower(p), '[^A-Za-z0-9_]+', '', 'g'), 260)), lambda p: length(p) > 60) AS marks FROM split),
+measured AS (
+  SELECT {key}, status, length(t) AS chars, len(regexp_extract_all(t, '\b\w+[\w''-]*\b')) AS words, len(list_filter(paras, lambda p: len(regexp_extract_all(p, '[{WS}]+')) >= 7)) AS paragraphs,
+    len(regexp_extract_all(t, '[.!?](?:[{WS}]|\z)')) AS sentences, {_hits('t', JUNK)} AS junk_hits, {_hits('t', AUTH)} AS auth_hits, {_hits('t', BOT)} AS bot_hits,
+    CASE WHEN len(marks) > 0 THEN floor((len(marks) - len(list_distinct(marks)))::DOUBLE / len(marks) * 1000 + 0.5::DOUBLE) / 1000 ELSE 0.0::DOUBLE END AS duplicate_ratio FROM marked),
+raw AS (SELECT *, least(45.0::DOUBLE, chars / 120) + least(25.0::DOUBLE, words / 35) + least(20.0::DOUBLE, paragraphs * 2.5::DOUBLE) + least(10.0::DOUBLE, sentences / 4)
+    - CASE WHEN chars < 300 THEN 35 ELSE 0 END - CASE WHEN paragraphs < 2 THEN 15 ELSE 0 END - CASE WHEN auth_hits > 0 THEN 45 ELSE 0 END - CASE WHEN bot_hits > 0 THEN 60 ELSE 0 END
+    - least(30.0::DOUBLE, junk_hits * 8.0::DOUBLE) - duplicate_ratio * 20 AS points FROM measured),
+scored AS (SELECT *, CASE WHEN chars = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(100.0::DOUBLE, floor(points * 10 + 0.5::DOUBLE) / 10)) END AS text_score FROM raw),
+labelled AS (SELECT *, CASE WHEN trim(status) = '429' THEN 'rate_limited' WHEN trim(status) IN ('401', '403') THEN 'auth_required' WHEN bot_hits > 0 THEN 'bot_blocked' WHEN auth_hits > 0 THEN 'auth_required' WHEN chars = 0 THEN 'failed'
+    WHEN chars < 300 OR words < 80 THEN 'partial_text' WHEN text_score >= 68 THEN 'full_text' WHEN text_score >= 42 THEN 'partial_text' ELSE 'low_confidence' END AS text_label FROM scored),
+judged AS (SELECT *, CASE WHEN text_label = 'full_text' AND text_score >= 85 THEN 'high' WHEN text_label = 'full_text' OR text_score >= 68 THEN 'medium' WHEN text_label IN ('partial_text', 'low_confidence') THEN 'low' ELSE 'blocked_or_failed' END AS confidence FROM labelled)
+"""
+
+
+_METRICS = ["chars", "words", "paragraphs", "sentences", "junk_hits", "auth_hits", "bot_hits", "duplicate_ratio"]
+_JUDGED_S = _measures("scrape_results", "result_id", "fetched_text", "coalesce(http_status, '')")
+_JUDGED_D = _measures("documents", "doc_id", "text", "'200'")
+
+
+@query("text_clean", f"SELECT doc_id, {_clean('text')} AS clean FROM documents")
+def text_clean(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.clean(F.col("text")).alias("clean"))
+
+
+@query("content_metrics", _JUDGED_S + f"SELECT result_id, {', '.join(_METRICS)} FROM judged")
+def content_metrics(spark, d):
+    return X.judged(table(spark, d, "scrape_results"), "fetched_text", F.col("http_status")).select("result_id", *_METRICS)
+
+
+@query("text_quality", _JUDGED_S + "SELECT result_id, text_score, text_label, confidence FROM judged")
+def text_quality(spark, d):
+    return X.judged(table(spark, d, "scrape_results"), "fetched_text", F.col("http_status")).select("result_id", "text_score", "text_label", "confidence")
+
+
+@query("document_quality", _JUDGED_D + "SELECT doc_id, text_score, text_label FROM judged")
+def document_quality(spark, d):
+    return X.judged(table(spark, d, "documents"), "text").select("doc_id", "text_score", "text_label")
+
+
+@query("source_health", _JUDGED_D + """SELECT lower(source) AS source, count(*) AS n_rows, count_if(text_label = 'full_text') AS n_full_text, count_if(text_label IN ('partial_text', 'low_confidence')) AS n_partial,
+  floor(avg(text_score) * 10 + 0.5::DOUBLE) / 10 AS avg_score FROM judged JOIN documents USING (doc_id) GROUP BY 1""")
+def source_health(spark, d):
+    rows = X.judged(table(spark, d, "documents"), "text")
+    return rows.groupBy(F.lower("source").alias("source")).agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("text_label") == "full_text").alias("n_full_text"),
+        F.count_if(F.col("text_label").isin("partial_text", "low_confidence")).alias("n_partial"), X.tenth(F.avg("text_score")).alias("avg_score"),
+    )
+
+
+@query("text_compact", rf"SELECT doc_id, CASE WHEN length(s) > 110 THEN left(s, 110) || '...' ELSE s END AS compact FROM (SELECT doc_id, {_strip(f"regexp_replace(coalesce(text, ''), '[{WS}]+', ' ', 'g')")} AS s FROM documents)")
+def text_compact(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.compact(F.col("text"), 110).alias("compact"))
+
+
+@query("text_clip", rf"""SELECT doc_id, CASE WHEN length(coalesce(text, '')) <= 900 THEN coalesce(text, '') ELSE regexp_replace(left(text, 900 - length(note)), '[{WS}]+\z', '') || note END AS clipped
+  FROM (SELECT doc_id, text, chr(10) || chr(10) || '[shortened; original length ' || format('{{:,}}', length(text)) || ' chars]' AS note FROM documents)""")
+def text_clip(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.clip(F.col("text"), 900).alias("clipped"))
+
+
+_PACK = "substr(s, 1260 + floor(greatest(0, m - 400) * {k} / 4)::BIGINT + 1, least(400, m))"
+
+
+@query("evidence_pack", rf"""SELECT doc_id, CASE WHEN n <= 3000 THEN s ELSE '[BEGINNING]' || chr(10) || left(s, 1260) || chr(10) || chr(10) || '[SAMPLES OF THE MIDDLE]' || chr(10) ||
+    array_to_string(list_filter([{", ".join(_strip(_PACK.format(k=k)) for k in (1, 2, 3))}], lambda x: x != ''), chr(10) || chr(10) || '--- SAMPLE ---' || chr(10) || chr(10)) ||
+    chr(10) || chr(10) || '[END]' || chr(10) || right(s, 900) || chr(10) || chr(10) || '[NOTE: the article was longer than this pack.]' END AS pack
+  FROM (SELECT doc_id, s, length(s) AS n, length(s) - 2160 AS m FROM (SELECT doc_id, {_strip("coalesce(text, '')")} AS s FROM documents))""")
+def evidence_pack(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.evidence_pack(F.col("text"), 3000).alias("pack"))
+
+
+@query("country_names", f"SELECT ai_id, CASE WHEN c = '' THEN 'Unknown' WHEN lower(c) IN {_quoted(US_NAMES)} THEN 'United States' WHEN lower(c) IN {_quoted(UK_NAMES)} THEN 'United Kingdom' ELSE c END AS country FROM (SELECT ai_id, trim(coalesce(outlet_country, '')) AS c FROM ai_results)")
+def country_names(spark, d):
+    return table(spark, d, "ai_results").select("ai_id", X.country(F.col("outlet_country")).alias("country"))
+
+
+@query("status_pill", """SELECT ai_id, CASE WHEN regexp_matches(s, 'full|verified|passed|complete|success|connected|entered|manual') THEN 'good' WHEN regexp_matches(s, 'partial|manual|low|truncated|needs|testing|environment|local') THEN 'warn'
+  WHEN regexp_matches(s, 'failed|error|auth|paywall|rate|robots|bot|missing|blocked') THEN 'bad' ELSE 'info' END AS pill FROM (SELECT ai_id, lower(coalesce(ai_verification_status, '')) AS s FROM ai_results)""")
+def status_pill(spark, d):
+    return table(spark, d, "ai_results").select("ai_id", X.pill(F.col("ai_verification_status")).alias("pill"))
+
+
+@query("byte_sizes", "SELECT result_id, CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f KB', n / 1024) END AS size FROM (SELECT result_id, octet_length(encode(coalesce(fetched_text, ''))) AS n FROM scrape_results)")
+def byte_sizes(spark, d):
+    return table(spark, d, "scrape_results").select("result_id", X.byte_size(F.octet_length(F.coalesce("fetched_text", F.lit("")))).alias("size"))
+
+
+# --- addresses ---------------------------------------------------------------------------------------------------
+
+_POINTS = r"""(CASE WHEN starts_with(u, 'https://') THEN 30 WHEN starts_with(u, 'http://') THEN 18 ELSE 0 END + CASE WHEN contains(u, '?') THEN 0 ELSE 10 END
+  - CASE WHEN regexp_matches(u, 'utm_|fbclid=|gclid=|mc_cid=|mc_eid=') THEN 14 ELSE 0 END - CASE WHEN regexp_matches(u, '/login|/signin|/subscribe|facebook\.com|twitter\.com|x\.com/|instagram\.com') THEN 40 ELSE 0 END
+  - CASE WHEN regexp_matches(u, '/amp\b|amp\.') THEN 4 ELSE 0 END + greatest(0.0::DOUBLE, 18 - length(u) / 18))::DOUBLE"""
+_HOST = r"regexp_replace(lower(regexp_extract({u}, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@\s]*@)?([^/?#:\s]*)', 1)), '^www\.', '')"
+
+
+@query("url_points", f"SELECT row_id, {_POINTS} AS points FROM (SELECT row_id, lower(trim(coalesce(url, ''))) AS u FROM manifest)")
+def url_points_(spark, d):
+    return table(spark, d, "manifest").select("row_id", url_points(F.col("url")).alias("points"))
+
+
+@query("url_canonical")
+def url_canonical(spark, d):
+    return table(spark, d, "manifest").select("row_id", canonical_url("url").alias("url"))
+
+
+@query("url_domain", f"SELECT result_id, coalesce(nullif({_HOST.format(u="coalesce(nullif(source_url_used, ''), nullif(canonical_url, ''), '')")}, ''), 'unknown') AS domain FROM scrape_results")
+def url_domain(spark, d):
+    return table(spark, d, "scrape_results").select("result_id", health.domain_of("source_url_used", "canonical_url").alias("domain"))
+
+
+# --- grouping, choice and expansion ------------------------------------------------------------------------------
+
+_KEY = (
+    lambda x: rf"""CASE WHEN lower({_strip(f"coalesce({x}, '')")}) IN ('', 'nan', 'none', 'null', 'undefined') THEN '' ELSE trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  trim(regexp_replace(lower(translate({_strip(f"coalesce({x}, '')")}, '‘’“”', chr(39) || chr(39) || '""')), '[{WS}]+', ' ', 'g')), ' *[|] *[^|]{{2,80}}\z', ''), ' +[-–—] +(?:breaking|live updates?|updated|analysis|opinion)\b.*\z', ''), '\b(?:updated|breaking)[: -]+', '', 'g'), '[^a-z0-9]+', ' ', 'g')) END"""
+)
+_KEYED = rf"""
+WITH named AS (SELECT *, {_KEY('title')} AS k FROM manifest),
+keyed AS (SELECT * EXCLUDE (k), CASE WHEN length(k) < 8 THEN '__unique__' || row_id ELSE k END AS dedupe_key, lower(trim(coalesce(url, ''))) AS u FROM named),
+pointed AS (SELECT *, {_POINTS} AS points FROM keyed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY points DESC, row_id) AS n, count(*) OVER (PARTITION BY dedupe_key) AS group_size, min(row_id) OVER (PARTITION BY dedupe_key) AS first_row FROM pointed),
+grouped AS (SELECT dedupe_key, group_size, first_row, row_id AS representative_row, coalesce(url, '') AS representative_url FROM placed WHERE n = 1)
+"""
+
+
+@query("dedupe_keys", _KEYED + "SELECT row_id, dedupe_key FROM keyed")
+def dedupe_keys(spark, d):
+    return dedupe.keyed(table(spark, d, "manifest")).select("row_id", "dedupe_key")
+
+
+@query("dedupe_groups", _KEYED + "SELECT * FROM grouped")
+def dedupe_groups(spark, d):
+    return dedupe.groups(table(spark, d, "manifest"))
+
+
+@query("dedupe_statistics", _KEYED + "SELECT sum(group_size)::BIGINT AS n_rows, count(*) AS n_groups, (sum(group_size) - count(*))::BIGINT AS requests_saved, max(group_size) AS largest_group FROM grouped")
+def dedupe_statistics(spark, d):
+    return dedupe.statistics(table(spark, d, "manifest"))
+
+
+def _one_result(spark, d):
+    """The latest delivery of each manifest row's result."""
+    rows = table(spark, d, "scrape_results")
+    w = Window.partitionBy("row_id").orderBy(F.desc("loaded_at"), F.desc("result_id"))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+_LATEST = "latest AS (SELECT * FROM scrape_results QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY loaded_at DESC NULLS LAST, result_id DESC) = 1)"
+
+
+@query("group_expansion", _KEYED + f", {_LATEST}" + """
+SELECT k.row_id, k.dedupe_key, g.group_size, g.representative_row, g.representative_url, g.group_size > 1 AS scraped_once_for_group, r.fetched_text, r.quality_label, r.extraction_score, r.word_count
+FROM keyed k JOIN grouped g USING (dedupe_key) LEFT JOIN latest r ON r.row_id = g.representative_row""")
+def group_expansion(spark, d):
+    full = dedupe.expand(table(spark, d, "manifest"), _one_result(spark, d))
+    return full.select("row_id", "dedupe_key", "group_size", "representative_row", "representative_url", "scraped_once_for_group", "fetched_text", "quality_label", "extraction_score", "word_count")
+
+
+_REUSE = rf"""
+WITH based AS (SELECT row_id, coalesce(nullif(trim(dedupe_key), ''), {_KEY('extracted_headline')}) AS b FROM scrape_results),
+keyed AS (SELECT row_id, CASE WHEN length(b) < 8 THEN '__unique_ai__' || row_id ELSE b END || '::summary::' AS ai_key FROM based)
+"""
+
+
+def _reuse_key():
+    return dedupe.reuse_key(F.col("dedupe_key"), F.col("extracted_headline"), None, F.col("row_id"))
+
+
+@query("ai_reuse_groups", _REUSE + "SELECT ai_key, count(*) AS group_size, min(row_id) AS job_row FROM keyed GROUP BY ai_key")
+def ai_reuse_groups(spark, d):
+    return dedupe.reuse_groups(table(spark, d, "scrape_results"), _reuse_key())
+
+
+@query("ai_savings", _REUSE + "SELECT count(*) AS n_rows, count(DISTINCT ai_key) AS jobs, count(*) - count(DISTINCT ai_key) AS saved FROM keyed")
+def ai_savings(spark, d):
+    g = dedupe.reuse_groups(table(spark, d, "scrape_results"), _reuse_key())
+    return g.agg(F.sum("group_size").alias("n_rows"), F.count("*").alias("jobs"), (F.sum("group_size") - F.count("*")).alias("saved"))
+
+
+_AI_LATEST = "ai AS (SELECT * FROM ai_results QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY analyzed_at DESC NULLS LAST, ai_id DESC) = 1)"
+
+
+def _one_ai(spark, d):
+    w = Window.partitionBy("row_id").orderBy(F.desc_nulls_last("analyzed_at"), F.desc("ai_id"))
+    return table(spark, d, "ai_results").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+@query("ai_reuse", _REUSE.replace("keyed AS (SELECT row_id,", "keyed AS (SELECT row_id, result_id,").replace("based AS (SELECT row_id,", "based AS (SELECT row_id, result_id,") + f", {_AI_LATEST}, " + """
+jobs AS (SELECT ai_key, count(*) AS group_size, min(row_id) AS job_row FROM keyed GROUP BY ai_key)
+SELECT k.result_id, k.ai_key, group_size, quality_score, headline, array_to_string(key_entities, ', ') AS key_entities, array_to_string(key_quotes, ' | ') AS key_quotes, job_row != k.row_id AS ai_reused
+FROM keyed k JOIN jobs USING (ai_key) LEFT JOIN ai ON ai.row_id = job_row""")
+def ai_reuse(spark, d):
+    results = _one_ai(spark, d).select("row_id", "quality_score", "headline", "key_entities", "key_quotes")
+    out = dedupe.reuse(table(spark, d, "scrape_results"), results, _reuse_key())
+    return out.select("result_id", "ai_key", "group_size", "quality_score", "headline", "key_entities", "key_quotes", "ai_reused")
+
+
+# --- counts and means --------------------------------------------------------------------------------------------
+
+_DOMAIN = f"coalesce(nullif({_HOST.format(u="coalesce(nullif(source_url_used, ''), nullif(canonical_url, ''), '')")}, ''), 'unknown')"
+_LABEL_COUNTS = ", ".join(f"count_if(quality_label IN {_quoted(v)}) AS {k}" for k, v in health.GROUPS.items())
+
+
+def _health_sql(score: str) -> str:
+    mean = lambda c: f"floor(coalesce(avg({score.format(c=c)}), 0.0::DOUBLE) * 10 + 0.5::DOUBLE) / 10"
+    return f"""WITH {_AI_LATEST}, joined AS (SELECT s.*, quality_score, summary_alignment_score FROM scrape_results s LEFT JOIN ai USING (row_id))
+SELECT {_DOMAIN} AS domain, count(*) AS n_rows, {_LABEL_COUNTS}, {mean('extraction_score')} AS avg_extraction_score, {mean('quality_score')} AS avg_quality_score, {mean('summary_alignment_score')} AS avg_alignment_score FROM joined GROUP BY 1"""
+
+
+def _joined(spark, d):
+    return table(spark, d, "scrape_results").join(_one_ai(spark, d).select("row_id", "quality_score", "summary_alignment_score", "outlet_country", "is_national_outlet", "ai_verification_status", "headline", "executive_summary"), "row_id", "left")
+
+
+@query("domain_health_server", _health_sql("coalesce({c}, 0)::DOUBLE"))
+def domain_health_server(spark, d):
+    return health.domain_health(_joined(spark, d), health.domain_of("source_url_used", "canonical_url"))
+
+
+@query("domain_health_client", _health_sql("{c}::DOUBLE"))
+def domain_health_client(spark, d):
+    return health.domain_health(_joined(spark, d), health.domain_of("source_url_used", "canonical_url"), server=False)
+
+
+@query("domain_order", f"""SELECT domain, n_rows, n_full_text, row_number() OVER (ORDER BY n_rows DESC, n_full_text DESC, domain) AS place FROM (
+  SELECT {_DOMAIN} AS domain, count(*) AS n_rows, count_if(quality_label = 'full_text') AS n_full_text FROM scrape_results GROUP BY 1)""")
+def domain_order(spark, d):
+    h = health.domain_health(table(spark, d, "scrape_results"), health.domain_of("source_url_used", "canonical_url"))
+    w = Window.orderBy(F.desc("n_rows"), F.desc("n_full_text"), "domain")
+    return health.in_order(h).select("domain", "n_rows", "n_full_text", F.row_number().over(w).cast("long").alias("place"))
+
+
+_SUMMARY = """count(*) AS input_rows, count(DISTINCT dedupe_key) AS jobs, count(*) - count(DISTINCT dedupe_key) AS requests_saved, count_if(quality_label = 'full_text') AS full_text_rows,
+  count_if(quality_label IN ('partial_text', 'low_confidence')) AS partial_rows, count_if(quality_label IN ('failed', 'url_only', 'robots_disallowed', 'rate_limited')) AS failed_rows,
+  count_if(quality_label = 'bot_blocked') AS bot_blocked_rows, count_if(quality_label = 'auth_required') AS auth_required_rows"""
+
+
+@query("run_summary", f"SELECT {_SUMMARY} FROM scrape_results")
+def run_summary(spark, d):
+    return health.run_summary(table(spark, d, "scrape_results"))
+
+
+@query("run_summaries", f"SELECT run_id, {_SUMMARY} FROM scrape_results GROUP BY run_id")
+def run_summaries(spark, d):
+    return health.run_summary(table(spark, d, "scrape_results"), ["run_id"])
+
+
+@query("chunk_merge", "SELECT domain, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in ("n_rows", *health.GROUPS)) + " FROM domain_health GROUP BY domain")
+def chunk_merge(spark, d):
+    return health.merged(table(spark, d, "domain_health").drop("run_id"), "domain")
+
+
+_REVIEWED = """reviews AS (SELECT row_id, arg_max(lower(review_status), struct_pack(a := reviewed_at, b := review_id)) AS review_status FROM review_labels GROUP BY row_id),
+rows AS (SELECT s.* EXCLUDE (extraction_trace_json), quality_score, summary_alignment_score, outlet_country, is_national_outlet, ai_verification_status, headline, executive_summary, coalesce(nullif(review_status, ''), 'unreviewed') AS review_status
+  FROM scrape_results s LEFT JOIN ai USING (row_id) LEFT JOIN reviews USING (row_id))"""
+
+
+def _reviewed(spark, d):
+    return views.with_review(_joined(spark, d), table(spark, d, "review_labels"), "row_id")
+
+
+_US = f"lower(trim(coalesce(outlet_country, ''))) IN {_quoted(US_NAMES)}"
+
+
+@query("filtered_statistics", f"WITH {_AI_LATEST}, {_REVIEWED}" + f"""SELECT count(*) AS n, count_if(quality_label = 'full_text') AS full_text, count_if(is_national_outlet) AS "national", count_if(is_national_outlet AND {_US}) AS us_national,
+  count_if(review_status = 'approved') AS approved, count_if(review_status = 'needs_review') AS needs_review, avg(quality_score::DOUBLE) AS mean_quality, avg(summary_alignment_score::DOUBLE) AS mean_alignment FROM rows""")
+def filtered_statistics(spark, d):
+    return health.filtered_statistics(_reviewed(spark, d), views.truth(F.col("is_national_outlet")))
+
+
+@query("review_labels", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id, review_status FROM rows")
+def review_labels(spark, d):
+    return _reviewed(spark, d).select("result_id", "review_status")
+
+
+# --- filters, sorts and projections ------------------------------------------------------------------------------
+
+
+@query("filter_search", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE contains(lower(concat(" + ", ' ', ".join(f"coalesce({c}::VARCHAR, '')" for c in ("headline", "extracted_headline", "extracted_author", "extracted_site_name", "outlet_country", "executive_summary", "fetched_text", "quality_label", "ai_verification_status")) + ")), 'council')")
+def filter_search(spark, d):
+    return views.search(_reviewed(spark, d), " Council ").select("result_id")
+
+
+@query("filter_thresholds", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE coalesce(quality_score, 0) >= 60 AND coalesce(summary_alignment_score, 0) >= 50 AND coalesce(word_count, 0) >= 150")
+def filter_thresholds(spark, d):
+    return views.Filter(min_quality=60, min_alignment=50, min_words=150).apply(_reviewed(spark, d)).select("result_id")
+
+
+@query("filter_national", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE coalesce(is_national_outlet, false)")
+def filter_national(spark, d):
+    return views.Filter(national="yes").apply(_reviewed(spark, d)).select("result_id")
+
+
+@query("filter_country", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE {_US}")
+def filter_country(spark, d):
+    return views.Filter(country="usa").apply(_reviewed(spark, d)).select("result_id")
+
+
+@query("filter_status", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE coalesce(nullif(ai_verification_status, ''), 'not analyzed') = 'not analyzed' AND coalesce(dedupe_group_size, 1) >= 2 AND review_status = 'unreviewed'")
+def filter_status(spark, d):
+    return views.Filter(status="not analyzed", duplicates_only=True, review="unreviewed").apply(_reviewed(spark, d)).select("result_id")
+
+
+@query("preset_high_quality", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE quality_score >= 80 AND summary_alignment_score >= 70 AND quality_label = 'full_text'")
+def preset_high_quality(spark, d):
+    return views.PRESETS["high-quality"].apply(_reviewed(spark, d)).select("result_id")
+
+
+@query("preset_us_national", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE coalesce(is_national_outlet, false) AND {_US} AND quality_score >= 50")
+def preset_us_national(spark, d):
+    return views.PRESETS["us-national"].apply(_reviewed(spark, d)).select("result_id")
+
+
+@query("preset_bot_blocked", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE quality_label = 'bot_blocked'")
+def preset_bot_blocked(spark, d):
+    return views.PRESETS["bot-blocked"].apply(_reviewed(spark, d)).select("result_id")
+
+
+@query("review_queue", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id, CASE WHEN review_status = 'unreviewed' THEN 0 ELSE 1 END AS needs, coalesce(summary_alignment_score, 0)::DOUBLE AS alignment FROM rows ORDER BY 2, 3, result_id LIMIT 500")
+def review_queue(spark, d):
+    return views.review_queue(_reviewed(spark, d), row_id="result_id").select("result_id", "needs", "alignment")
+
+
+@query("sort_top_quality", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id, coalesce(quality_score, 0)::DOUBLE AS quality FROM rows ORDER BY 2 DESC, 1 LIMIT 500")
+def sort_top_quality(spark, d):
+    """The table view shows its first 500 rows; that is the view's length."""
+    return views.ordered(_reviewed(spark, d), "quality", "result_id").limit(500).select("result_id", F.coalesce(F.col("quality_score").cast("double"), F.lit(0.0)).alias("quality"))
+
+
+@query("sort_by_headline")
+def sort_by_headline(spark, d):
+    return views.ordered(_joined(spark, d).withColumn("title", F.lit("")), "headline", "result_id").select("result_id", "extracted_headline")
+
+
+@query("options_country", f"SELECT DISTINCT CASE WHEN c = '' THEN 'Unknown' WHEN lower(c) IN {_quoted(US_NAMES)} THEN 'United States' WHEN lower(c) IN {_quoted(UK_NAMES)} THEN 'United Kingdom' ELSE c END AS option FROM (SELECT trim(coalesce(outlet_country, '')) AS c FROM ai_results)")
+def options_country(spark, d):
+    return views.options(table(spark, d, "ai_results"), X.country(F.col("outlet_country")))
+
+
+@query("options_label", "SELECT DISTINCT quality_label AS option FROM scrape_results WHERE trim(quality_label) != ''")
+def options_label(spark, d):
+    return views.options(table(spark, d, "scrape_results"), F.col("quality_label"))
+
+
+@query("row_keys", """SELECT result_id, concat_ws('::', coalesce(nullif(source_url_used, ''), nullif(canonical_url, ''), ''), coalesce(extracted_headline, ''), coalesce(dedupe_key, ''), '0') AS row_key FROM scrape_results""")
+def row_keys(spark, d):
+    url = F.coalesce(F.nullif(F.col("source_url_used"), F.lit("")), F.nullif(F.col("canonical_url"), F.lit("")))
+    return table(spark, d, "scrape_results").select("result_id", views.row_key(url, F.col("extracted_headline"), F.col("dedupe_key")).alias("row_key"))
+
+
+@query("truth_values", f"SELECT ai_id, coalesce(lower(is_national_outlet::VARCHAR) IN {_quoted(TRUE_NAMES)}, false) AS yes FROM ai_results")
+def truth_values(spark, d):
+    return table(spark, d, "ai_results").select("ai_id", views.truth(F.col("is_national_outlet")).alias("yes"))
+
+
+@query("visible_columns", "SELECT row_id, extracted_headline, extracted_author, extracted_date, extracted_site_name, quality_label, extraction_score, word_count, recovery_route, dedupe_group_size, source_url_used FROM scrape_results")
+def visible_columns(spark, d):
+    return views.visible(table(spark, d, "scrape_results"))
+
+
+@query("trace_view", """SELECT result_id, i - 1 AS place, j->>'$.route' AS route, j->>'$.label' AS label, (j->>'$.score')::DOUBLE AS score, coalesce((j->>'$.selected')::BOOLEAN, false) AS selected
+  FROM (SELECT result_id, unnest(range(1, json_array_length(v)::BIGINT + 1)) AS i, v FROM (SELECT result_id, extraction_trace_json::JSON AS v FROM scrape_results WHERE json_valid(extraction_trace_json) AND extraction_trace_json LIKE '[%')),
+  LATERAL (SELECT json_extract(v, '$[' || (i - 1) || ']') AS j)""")
+def trace_view(spark, d):
+    shape = "array<struct<route:string,label:string,score:double,selected:boolean>>"
+    value = F.when(F.col("extraction_trace_json").startswith("["), F.try_variant_get(F.expr("try_parse_json(extraction_trace_json)"), "$", shape))
+    rows = table(spark, d, "scrape_results").select("result_id", F.posexplode(value).alias("place", "a"))
+    return rows.select("result_id", F.col("place").cast("long").alias("place"), "a.route", "a.label", "a.score", F.coalesce("a.selected", F.lit(False)).alias("selected"))
+
+
+@query("input_preview")
+def input_preview(spark, d):
+    return views.preview(table(spark, d, "manifest").orderBy("row_id"))
+
+
+# --- candidates, routes, archives --------------------------------------------------------------------------------
+
+
+def _candidates(spark, d):
+    """Candidates read back from the traces: one per attempt, with its own label."""
+    rows = trace_view(spark, d)
+    return rows.select("result_id", "place", "route", "label", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+_ATTEMPTS = SQL["trace_view"]
+
+
+@query("candidate_top", f"SELECT result_id, place, score FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY score DESC, place) AS n FROM (SELECT result_id, place, coalesce(score, 0) AS score FROM ({_ATTEMPTS}))) WHERE n <= 2")
+def candidate_top(spark, d):
+    c = _candidates(spark, d).select("result_id", "place", "score", F.lit("").alias("text"), F.lit(0).alias("route_no"), F.col("place").alias("seq"))
+    return rank.top(c.drop("place"), 2, "result_id").select("result_id", F.col("seq").alias("place"), "score")
+
+
+@query("route_early_stop", f"SELECT result_id, place FROM (SELECT *, max((label = 'full_text')::INT) OVER (PARTITION BY result_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM ({_ATTEMPTS})) WHERE coalesce(done, 0) = 0")
+def route_early_stop(spark, d):
+    c = _candidates(spark, d).select("result_id", F.col("place").alias("route_no"), F.lit(0).alias("seq"), F.lit("").alias("text"), "score", F.coalesce("label", F.lit("")).alias("text_label"))
+    return rank.until_full(c, "result_id").select("result_id", F.col("route_no").alias("place"))
+
+
+@query("best_candidate", f"SELECT result_id, arg_max(place, struct_pack(s := score, p := -place)) AS place, count(*) AS candidate_count FROM (SELECT result_id, place, coalesce(score, 0) AS score FROM ({_ATTEMPTS})) GROUP BY result_id")
+def best_candidate(spark, d):
+    c = _candidates(spark, d)
+    return c.groupBy("result_id").agg(F.max_by("place", F.struct("score", (-F.col("place")).alias("p"))).alias("place"), F.count("*").alias("candidate_count"))
+
+
+@query("archive_snapshots")
+def archive_snapshots(spark, d):
+    """An archive's index made of the deliveries of each address."""
+    rows = table(spark, d, "scrape_results").where("source_url_used != '' and scraped_at is not null")
+    index = rows.select(F.col("source_url_used").alias("url"), F.date_format("scraped_at", "yyyyMMddHHmmss").alias("timestamp"), F.coalesce("http_status", F.lit("")).alias("statuscode"), F.lit("text/html").alias("mimetype"), F.md5(F.coalesce("fetched_text", F.lit(""))).alias("digest"))
+    return rank.snapshots(index).select("url", "timestamp", "digest", F.col("place").cast("long").alias("place"))
+
+
+@query("cache_lookup", """WITH cache AS (SELECT coalesce(source_url_used, '') AS url, arg_max(result_id, struct_pack(a := scraped_at, b := result_id)) AS cached FROM scrape_results WHERE source_url_used != '' AND scraped_at > TIMESTAMPTZ '2024-01-20' GROUP BY 1)
+  SELECT row_id, cached FROM manifest JOIN cache USING (url)""")
+def cache_lookup(spark, d):
+    cache = table(spark, d, "scrape_results").where("source_url_used != ''").select(F.col("source_url_used").alias("cache_key"), F.col("scraped_at").alias("expires_at"), F.col("result_id").alias("result"))
+    hits, _ = io.cached(table(spark, d, "manifest").withColumn("cache_key", F.col("url")), cache, F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    return hits.select("row_id", F.col("result").alias("cached"))
+
+
+# --- pages and models --------------------------------------------------------------------------------------------
+
+
+def _pages(spark, d):
+    """Pages rendered back from the texts: a heading, paragraphs, and furniture around them."""
+    text = F.coalesce("text", F.lit(""))
+    esc = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    body = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><nav><a href='/'>Home</a></nav><article class='story'><p>"), F.regexp_replace(esc, "\n+", "</p><p>"), F.lit("</p></article><footer>Imprint</footer></body></html>"))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("job_key"), "url", body.alias("html"), F.lit(200).alias("http_status"), F.lit("").alias("error"))
+
+
+@query("html_candidates")
+def html_candidates(spark, d):
+    return extract.extracted(_pages(spark, d)).select("job_key", "seq", "route", F.length("text").alias("chars"), F.round("score", 6).alias("score"), "title", "boilerplate_ratio")
+
+
+@query("pipeline_rows")
+def pipeline_rows(spark, d):
+    """The whole run over the manifest, its pages made of the documents with the same address."""
+    pages = _pages(spark, d).select(canonical_url("url").alias("url"), "html", "http_status", "error").where("url != ''").dropDuplicates(["url"])
+    run = pipeline.run(table(spark, d, "manifest"), Options(use_archive=False), live=pages)
+    return run.rows.select("row_id", "dedupe_key", "quality_label", "extraction_score", "word_count", "recovery_route", "group_size")
+
+
+@query("list_values", "SELECT row_id, list_filter(list_transform(string_split_regex(coalesce(summary, ''), '[,|]'), lambda x: trim(x)), lambda x: x != '')[1:12] AS items FROM manifest")
+def list_values(spark, d):
+    return table(spark, d, "manifest").select("row_id", enrich.list_column(F.col("summary")).alias("items"))
+
+
+@query("evidence_values", """WITH good AS (SELECT ai_id, evidence_json::JSON AS v FROM ai_results WHERE json_valid(evidence_json) AND evidence_json LIKE '[%'),
+items AS (SELECT ai_id, t.rowid AS i, t.value AS j FROM good, json_each(v) t WHERE t.type = 'OBJECT'),
+named AS (SELECT ai_id, i, trim(coalesce(j->>'$.claim', j->>'$.point', j->>'$.label', '')) AS claim, trim(coalesce(j->>'$.quote', j->>'$.evidence', j->>'$.text', '')) AS quote, trim(coalesce(j->>'$.relevance', j->>'$.reason', j->>'$.note', '')) AS relevance FROM items)
+SELECT ai_id, n AS place, claim, quote, relevance FROM (SELECT *, row_number() OVER (PARTITION BY ai_id ORDER BY i) AS n FROM named WHERE claim != '' OR quote != '') WHERE n <= 8""")
+def evidence_values(spark, d):
+    rows = table(spark, d, "ai_results").where(F.col("evidence_json").startswith("[") & F.expr("try_parse_json(evidence_json)").isNotNull())
+    rows = rows.select("ai_id", F.posexplode(enrich.evidence_column(F.col("evidence_json"))).alias("p", "e"))
+    return rows.select("ai_id", (F.col("p") + 1).cast("long").alias("place"), "e.claim", "e.quote", "e.relevance")
+
+
+@query("model_calls")
+def model_calls(spark, d):
+    """A stub model answers for each distinct article; equal articles share a call."""
+    rows = table(spark, d, "scrape_results").withColumn("ai_key", _reuse_key()).groupBy("ai_key").agg(F.min_by(F.coalesce("fetched_text", F.lit("")), "row_id").alias("text"))
+    jobs = rows.select("ai_key", X.evidence_pack(F.col("text")).alias("pack"))
+    return enrich.analysed(jobs, _stub).select("ai_key", "ai_verification_status", "quality_score", "evidence_count")
+
+
+def _stub(pack: str) -> str:
+    return '```json\n{"status": "verified", "quality_score": ' + str(len(pack) % 101) + ', "evidence": [{"point": "length"}]}\n```'
+
+
+@query("log_lines", "SELECT row_id, concat(coalesce(run_id, ''), ' ', row_id, ': ', coalesce(quality_label, ''), ' (', coalesce(recovery_route, ''), ')') AS line FROM scrape_results")
+def log_lines(spark, d):
+    return io.log_lines(table(spark, d, "scrape_results"))
+
+
+@query("blank_rows", f"SELECT row_id FROM manifest WHERE {' OR '.join(f"{_strip(f"coalesce({c}, '')")} != ''" for c in ('url', 'title', 'summary', 'outlet'))}")
+def blank_rows(spark, d):
+    rows = table(spark, d, "manifest")
+    values = F.array(*(F.coalesce(c, F.lit("")) for c in ("url", "title", "summary", "outlet")))
+    return rows.where(F.exists(values, lambda x: X.strip(x) != "")).select("row_id")
+
+
+@query("run_history", "SELECT run_id, max(loaded_at) AS loaded_at, count(*) AS n FROM scrape_results GROUP BY run_id ORDER BY 2 DESC, 1 LIMIT 30")
+def run_history(spark, d):
+    """The history keeps 30 runs."""
+    runs = table(spark, d, "scrape_results").groupBy("run_id").agg(F.max("loaded_at").alias("loaded_at"), F.count("*").alias("n"))
+    return io.newest(runs, "run_id", "loaded_at", 30)
