@@ -246,7 +246,7 @@ def labelled(text: str, site: str, known: Known) -> list[tuple[str, str]]:
 
 def scan(df: DataFrame, key: str, text: str, domain: Column | None) -> DataFrame:
     d = page_domain() if domain is None else domain
-    return df.where(F.length(text) > 0).select(F.col(key), d.alias("_domain"), F.col(text).alias("_text"))
+    return df.where(F.length(text) > 0).select(F.col(key), F.coalesce(d, F.lit("")).alias("_domain"), F.col(text).alias("_text"))
 
 
 def rendered(text: str) -> str:
