@@ -31,8 +31,8 @@ MONOTONE = (0, 1, 1, 0, 0, 0)
 _words = re.compile(r"[^\W\d_]+").findall
 
 
-def _ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids of all texts in a row, words per text, and letters per word id."""
+def _ids_and_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Word ids of all texts in a row, words per text, and the words by id."""
     known: dict[str, int] = {}
     flat: list[int] = []
     counts = np.zeros(len(texts), np.int64)
@@ -41,7 +41,7 @@ def _ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             words = _words(t.lower())
             counts[i] = len(words)
             flat += [known.setdefault(w, len(known)) for w in words]
-    return np.array(flat, np.int64), counts, np.fromiter(map(len, known), np.int64, len(known))
+    return np.array(flat, np.int64), counts, list(known)
 
 
 def repeated_words(flat: np.ndarray, counts: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -72,7 +72,8 @@ def repeated_words(flat: np.ndarray, counts: np.ndarray, run: int = RUN) -> np.n
 
 def statistics(texts: list[str | None]) -> np.ndarray:
     """One row of STATS for each text."""
-    flat, counts, letters = _ids(texts)
+    flat, counts, words = _ids_and_words(texts)
+    letters = np.fromiter(map(len, words), np.int64, len(words))
     n, some = len(texts), np.maximum(counts, 1)
     doc = np.repeat(np.arange(n), counts)
     repeated = repeated_words(flat, counts)
