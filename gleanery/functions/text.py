@@ -6,6 +6,7 @@ Null counts as the empty string throughout, as ``clean`` coalesces first.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,12 +31,14 @@ def clean(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(sanitize(c), "[ \\t]+", " "), "\\n{3,}", "\n\n"))
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c evaluated once, however often it is used; Catalyst would repeat it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def hits(cleaned: Column, phrases: list[str]) -> Column:
-    low = F.lower(cleaned)
-    total = F.lit(0)
-    for p in phrases:
-        total = total + F.contains(low, F.lit(p)).cast("int")
-    return total
+    """How many of the phrases a text holds, in any case."""
+    return bound(F.lower(cleaned), lambda low: sum((F.contains(low, F.lit(p)).cast("int") for p in phrases), F.lit(0)))
 
 
 def paragraphs(cleaned: Column) -> Column:
@@ -59,7 +62,8 @@ def metrics(cleaned: Column) -> dict[str, Column]:
 def duplicate_ratio(cleaned: Column) -> Column:
     """Share of paragraphs whose first 260 letters and digits stood before, of those with more than 60."""
     marks = F.filter(F.transform(paragraphs(cleaned), lambda p: F.substring(F.regexp_replace(F.lower(p), "[^A-Za-z0-9_]+", ""), 1, 260)), lambda p: F.length(p) > 60)
-    return F.when(F.size(marks) > 0, F.floor((F.size(marks) - F.size(F.array_distinct(marks))) / F.size(marks) * 1000 + 0.5) / 1000).otherwise(0.0)
+    share = lambda m: F.when(F.size(m) > 0, F.floor((F.size(m) - F.size(F.array_distinct(m))) / F.size(m) * 1000 + 0.5) / 1000).otherwise(0.0)
+    return bound(marks, share)
 
 
 def tenth(c: Column) -> Column:

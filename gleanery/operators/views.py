@@ -117,8 +117,8 @@ def review_queue(rows: DataFrame, limit: int = 500, row_id: str = "row_id") -> D
 
 
 def with_review(rows: DataFrame, labels: DataFrame, key: str = "row_key") -> DataFrame:
-    """rows with their latest review, 'unreviewed' without one; ties of time go to the later label."""
-    latest = labels.groupBy(key).agg(F.max(F.struct("reviewed_at", "review_id", F.lower("review_status").alias("s"))).alias("r")).select(key, F.col("r.s").alias("review_status"))
+    """rows with their latest review that says anything, 'unreviewed' without one; ties of time go to the later label."""
+    latest = labels.where("trim(review_status) != ''").groupBy(key).agg(F.max(F.struct("reviewed_at", "review_id", F.lower("review_status").alias("s"))).alias("r")).select(key, F.col("r.s").alias("review_status"))
     return rows.join(latest, key, "left").withColumn("review_status", F.coalesce(F.nullif("review_status", F.lit("")), F.lit("unreviewed")))
 
 

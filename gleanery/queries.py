@@ -173,7 +173,7 @@ def status_pill(spark, d):
     return table(spark, d, "ai_results").select("ai_id", X.pill(F.col("ai_verification_status")).alias("pill"))
 
 
-@query("byte_sizes", "SELECT result_id, CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f KB', n / 1024) END AS size FROM (SELECT result_id, octet_length(encode(coalesce(fetched_text, ''))) AS n FROM scrape_results)")
+@query("byte_sizes", "SELECT result_id, CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f KB', floor(n / 1024 * 10 + 0.5::DOUBLE) / 10) END AS size FROM (SELECT result_id, octet_length(encode(coalesce(fetched_text, ''))) AS n FROM scrape_results)")
 def byte_sizes(spark, d):
     return table(spark, d, "scrape_results").select("result_id", X.byte_size(F.octet_length(F.coalesce("fetched_text", F.lit("")))).alias("size"))
 
@@ -342,7 +342,7 @@ def chunk_merge(spark, d):
     return health.merged(table(spark, d, "domain_health").drop("run_id"), "domain")
 
 
-_REVIEWED = """reviews AS (SELECT row_id, arg_max(lower(review_status), struct_pack(a := reviewed_at, b := review_id)) AS review_status FROM review_labels GROUP BY row_id),
+_REVIEWED = """reviews AS (SELECT row_id, arg_max(lower(review_status), struct_pack(a := coalesce(reviewed_at, TIMESTAMPTZ '0001-01-01'), b := review_id)) AS review_status FROM review_labels WHERE trim(review_status) != '' GROUP BY row_id),
 rows AS (SELECT s.* EXCLUDE (extraction_trace_json), quality_score, summary_alignment_score, outlet_country, is_national_outlet, ai_verification_status, headline, executive_summary, coalesce(nullif(review_status, ''), 'unreviewed') AS review_status
   FROM scrape_results s LEFT JOIN ai USING (row_id) LEFT JOIN reviews USING (row_id))"""
 
@@ -450,7 +450,7 @@ def visible_columns(spark, d):
     return views.visible(table(spark, d, "scrape_results"))
 
 
-@query("trace_view", """SELECT result_id, i - 1 AS place, j->>'$.route' AS route, j->>'$.label' AS label, (j->>'$.score')::DOUBLE AS score, coalesce((j->>'$.selected')::BOOLEAN, false) AS selected
+@query("trace_view", """SELECT result_id, i - 1 AS place, j->>'$.route' AS route, j->>'$.label' AS label, (j->>'$.score')::DOUBLE + 0.0::DOUBLE AS score, coalesce((j->>'$.selected')::BOOLEAN, false) AS selected
   FROM (SELECT result_id, unnest(range(1, json_array_length(v)::BIGINT + 1)) AS i, v FROM (SELECT result_id, extraction_trace_json::JSON AS v FROM scrape_results WHERE json_valid(extraction_trace_json) AND extraction_trace_json LIKE '[%')),
   LATERAL (SELECT json_extract(v, '$[' || (i - 1) || ']') AS j)""")
 def trace_view(spark, d):
