@@ -33,6 +33,13 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[...,
     return df.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, schema)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2500) -> Iterator[pa.RecordBatch]:
+    """Batches cut smaller, for functions that hold arrays over all words of a batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About nine tenths of ``rows`` rows, ``rows`` at most, for training only; alike on every run.
 
