@@ -31,16 +31,24 @@ MONOTONE = (0, 1, 1, 0, 0, 0)
 _words = re.compile(r"[^\W\d_]+").findall
 
 
+class Ids(dict):
+    """Numbers words as they are first looked up."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _ids_and_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Word ids of all texts in a row, words per text, and the words by id."""
-    known: dict[str, int] = {}
+    known = Ids()
     flat: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         if t:
             words = _words(t.lower())
             counts[i] = len(words)
-            flat += [known.setdefault(w, len(known)) for w in words]
+            flat += map(known.__getitem__, words)
     return np.array(flat, np.int64), counts, list(known)
 
 
