@@ -24,7 +24,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("p3_found")
+_REPEATED = r"""
+WITH texts AS (SELECT result_id, regexp_extract_all(lower(fetched_text), '\p{L}+') AS w FROM scrape_results WHERE fetched_text != ''),
+runs AS (SELECT result_id, list_transform(range(1, len(w) - 3), lambda i: {'at': i, 'run': array_to_string(w[i:i + 4], ' ')}) AS r FROM texts WHERE len(w) >= 30),
+flat AS (SELECT result_id, unnest(r, recursive := true) FROM runs),
+first AS (SELECT result_id, run, min("at") AS first_at FROM flat GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT DISTINCT result_id, "at" + k.k AS place FROM flat JOIN first USING (result_id, run), (SELECT unnest(range(5)) AS k) k WHERE "at" > first_at),
+counted AS (SELECT result_id, count(*) AS n FROM covered GROUP BY result_id)
+SELECT result_id FROM counted JOIN texts USING (result_id) WHERE n * 10 >= len(w) * 3
+"""
+
+
+@query("p3_found", _REPEATED)
 def p3_found(spark, d):
     return repetition.found(table(spark, d, "scrape_results"))
 
