@@ -314,12 +314,10 @@ def domain_health_client(spark, d):
     return health.domain_health(_joined(spark, d), health.domain_of("source_url_used", "canonical_url"), server=False)
 
 
-@query("domain_order", f"""SELECT domain, n_rows, n_full_text, row_number() OVER (ORDER BY n_rows DESC, n_full_text DESC, domain) AS place FROM (
-  SELECT {_DOMAIN} AS domain, count(*) AS n_rows, count_if(quality_label = 'full_text') AS n_full_text FROM scrape_results GROUP BY 1)""")
+@query("domain_order", f"SELECT {_DOMAIN} AS domain, count(*) AS n_rows, count_if(quality_label = 'full_text') AS n_full_text FROM scrape_results GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1")
 def domain_order(spark, d):
     h = health.domain_health(table(spark, d, "scrape_results"), health.domain_of("source_url_used", "canonical_url"))
-    w = Window.orderBy(F.desc("n_rows"), F.desc("n_full_text"), "domain")
-    return health.in_order(h).select("domain", "n_rows", "n_full_text", F.row_number().over(w).cast("long").alias("place"))
+    return health.in_order(h).select("domain", "n_rows", "n_full_text")
 
 
 _SUMMARY = """count(*) AS input_rows, count(DISTINCT dedupe_key) AS jobs, count(*) - count(DISTINCT dedupe_key) AS requests_saved, count_if(quality_label = 'full_text') AS full_text_rows,
