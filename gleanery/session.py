@@ -21,6 +21,7 @@ def session(app: str = "gleanery", cpus: str | int | None = None) -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("GLEANERY_DRIVER_MEMORY", "8g"))
         .config("spark.ui.showConsoleProgress", "false")
+        .config("gleanery.spread", str(cpus))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -37,8 +38,11 @@ def importable(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. A local session spreads its one-file tables over all cores; on a cluster the files do that."""
     importable(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    spread = spark.conf.get("gleanery.spread", "")
+    return df.repartition(int(spread)) if spread and df.rdd.getNumPartitions() == 1 else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
