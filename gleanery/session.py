@@ -38,11 +38,11 @@ def importable(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder. A local session spreads its one-file tables over all cores; on a cluster the files do that."""
+    """A table of a folder. A local session spreads tables of fewer files than cores over all cores; on a cluster the files do that."""
     importable(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     spread = spark.conf.get("gleanery.spread", "")
-    return df.repartition(int(spread)) if spread and df.rdd.getNumPartitions() == 1 else df
+    return df.repartition(int(spread)) if spread and df.rdd.getNumPartitions() < int(spread) else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
