@@ -20,6 +20,11 @@ def number(c: Column) -> Column:
     return F.when(s == "", 0.0).otherwise(F.when(s.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), s.try_cast("double")))
 
 
+def mean(c: Column) -> Column:
+    """A mean from an exact sum, so that it doesn't depend on the order of rows."""
+    return F.try_divide(F.sum(c.try_cast("decimal(24,6)")).cast("double"), F.count(c))
+
+
 def count_of(labels: list[str], c: str = "quality_label") -> Column:
     return F.count_if(F.coalesce(F.col(c), F.lit("")).isin(labels))
 
@@ -35,7 +40,7 @@ def domain_health(rows: DataFrame, domain: Column, server: bool = True) -> DataF
     means = {"avg_extraction_score": "extraction_score", "avg_quality_score": "quality_score", "avg_alignment_score": "summary_alignment_score"}
     one = lambda c: F.coalesce(number(F.col(c)), F.lit(0.0)) if server else number(F.col(c))
     aggs = [count_of(v).alias(k) for k, v in GROUPS.items()]
-    aggs += [tenth(F.coalesce(F.avg(one(c)), F.lit(0.0))).alias(k) if c in rows.columns else F.lit(0.0).alias(k) for k, c in means.items()]
+    aggs += [tenth(F.coalesce(mean(one(c)), F.lit(0.0))).alias(k) if c in rows.columns else F.lit(0.0).alias(k) for k, c in means.items()]
     return rows.withColumn("domain", domain).groupBy("domain").agg(F.count("*").alias("n_rows"), *aggs)
 
 

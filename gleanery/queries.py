@@ -295,7 +295,7 @@ _LABEL_COUNTS = ", ".join(f"count_if(quality_label IN {_quoted(v)}) AS {k}" for
 
 
 def _health_sql(score: str) -> str:
-    mean = lambda c: f"floor(coalesce(avg({score.format(c=c)}), 0.0::DOUBLE) * 10 + 0.5::DOUBLE) / 10"
+    mean = lambda c: f"floor(coalesce(sum(({score.format(c=c)})::DECIMAL(24,6))::DOUBLE / nullif(count({score.format(c=c)}), 0), 0.0::DOUBLE) * 10 + 0.5::DOUBLE) / 10"
     return f"""WITH {_AI_LATEST}, joined AS (SELECT s.*, quality_score, summary_alignment_score FROM scrape_results s LEFT JOIN ai USING (row_id))
 SELECT {_DOMAIN} AS domain, count(*) AS n_rows, {_LABEL_COUNTS}, {mean('extraction_score')} AS avg_extraction_score, {mean('quality_score')} AS avg_quality_score, {mean('summary_alignment_score')} AS avg_alignment_score FROM joined GROUP BY 1"""
 
