@@ -178,14 +178,17 @@ FURNITURE, BODY, HEAD, FILLER = 0, 1, 2, 3
 class Known:
     """The recurring keys of a corpus: kinds by key, frames by their beginning, beginnings of furniture and keys of error templates."""
 
-    def __init__(self, kinds: dict[int, int], texts: dict[int, str] | None = None, errors: set[int] | None = None):
+    def __init__(self, kinds: dict[int, int], texts: dict[int, str] | None = None, errors: set[int] | None = None, slots: set[int] | None = None):
         self.kinds, self.errors = kinds, errors or set()
+        self.slots: dict[str, list[tuple[str, str]]] = {}
         self.frames: dict[str, list[tuple[str, str]]] = {}
         self.starts: set[str] = set()
         for k, x in (texts or {}).items():
             if "~" in x:
                 before, _, after = x.partition("~")
                 self.frames.setdefault(before[:6], []).append((before, after))
+                if slots and k in slots:
+                    self.slots.setdefault(before[:6], []).append((before, after))
             elif kinds.get(k) == FURNITURE:
                 self.starts.update(x[:n] for n in range(6, len(x)))
 
@@ -193,6 +196,16 @@ class Known:
         """Whether a line without visible names begins and ends like a recurring frame."""
         return any(skel.startswith(b) and skel.endswith(a) and len(skel) > len(a) + len(b) for b, a in self.frames.get(skel[:6], ()))
 
+    def unfilled(self, s: str) -> bool:
+        """Whether a bare line is a frame whose slot holds nothing, the name of a variable or a default."""
+        k = letters(s)
+        for b, a in self.slots.get(k[:6], ()):
+            if len(k) >= len(a) + len(b) and k.startswith(b) and k.endswith(a):
+                filler = k[len(b) : len(k) - len(a)]
+                if filler in NAMES or filler in DEFAULTS or not filler and a:
+                    return True
+        return False
+
 
 def labelled(text: str, site: str, known: Known) -> list[tuple[str, str]]:
     """(label, skeleton) of each line; labels are '' without letters, 'story', 'head' of a side list, its 'item', 'teaser',
@@ -303,6 +316,7 @@ def learned(texts: DataFrame) -> Known:
         known = shared.value
         texts_of: dict[int, str] = {}
         alone: dict[int, int] = {}
+        fillers: dict[int, set[int]] = {}
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 t, site = rendered(t), site_name(d)
@@ -315,12 +329,17 @@ def learned(texts: DataFrame) -> Known:
                         for k, x in own:
                             if k not in texts_of:
                                 texts_of[k] = x
+                            if "~" in x and len(f := fillers.setdefault(k, set())) < SLOT_FILLERS:
+                                before, _, after = x.partition("~")
+                                whole = letters(line)
+                                f.add(key_of(whole[len(before) : len(whole) - len(after)]))
                             if alone_here:
                                 alone[k] = alone.get(k, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(texts_of), pa.int64()), pa.array(list(texts_of.values()), pa.string()), pa.array([alone.get(k, 0) for k in texts_of], pa.int64())], names=["key", "skel", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(texts_of), pa.int64()), pa.array(list(texts_of.values()), pa.string()), pa.array([alone.get(k, 0) for k in texts_of], pa.int64()), pa.array([list(fillers.get(k, ())) for k in texts_of], pa.list_(pa.int64()))], names=["key", "skel", "n", "fillers"])
 
-    rows = texts.select("_domain", "_text").mapInArrow(run, "key long, skel string, n long").groupBy("key").agg(F.max("skel").alias("skel"), F.sum("n").alias("n")).collect()
-    return Known(kinds, {r.key: r.skel for r in rows}, {r.key for r in rows if r.n >= ERROR * counts[r.key]})
+    found = texts.select("_domain", "_text").mapInArrow(run, "key long, skel string, n long, fillers array<long>").groupBy("key")
+    rows = found.agg(F.max("skel").alias("skel"), F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("fillers")))).alias("fillers")).collect()
+    return Known(kinds, {r.key: r.skel for r in rows}, {r.key for r in rows if r.n >= ERROR * counts[r.key]}, {r.key for r in rows if r.fillers >= SLOT_FILLERS})
 
 
 #: Ways in which template languages write a variable, and what they print for a missing one.
@@ -330,6 +349,12 @@ PLACEHOLDER = re.compile(
     | \[object\ Object\] | \{\d+\}[^{}\n]{1,40}\{\d+\} | \bundefined\ \w+\ of\ undefined\b""",
     re.X,
 )
+#: Names of a story's variables, by which syntaxes off the list are found, and what is printed for a missing value.
+NAMES = set("title headline name byline author date summary caption section body dek story article content category subtitle teaser".split())
+DEFAULTS = set("undefined null none nan nil tbd tba todo untitled placeholder".split())
+#: A frame is a slot if it was seen with so many fillers. A wrapper is a syntax if it holds so many of NAMES, and little else.
+SLOT_FILLERS = 3
+WRAP_NAMES, WRAP_SHARE = 3, 0.8
 #: Words by which the usual filler text is known; the rest of its words are found beside them.
 SEEDS = ("lorem", "ipsum")
 #: Words of error pages and notices, for pages so rare that nothing on them recurs.
@@ -344,6 +369,61 @@ FILLER_SHARE, FILLER_LINES, FILLER_WORDS = 0.02, 3, 0.7
 _words = re.compile(r"[^\W\d_]+").findall
 
 
+_odd = re.compile(r"[{}%$#@*|<>\[\]_~^=\\]|([A-Z])\1(?=[A-Z]{3})")
+_wrapped = re.compile(r"([^\w\s]{1,3}|_{1,3}|([A-Z])\2{1,2}(?=[A-Z])|)([^\W\d_](?:[^\W\d_]|[._:-](?=[^\W\d_]))*?)(_{1,3}|[^\w\s]{1,3}[a-z]?|\2{2,3}|)")
+_prose = "\"“”‘’'.,;:!?»«…"
+_apart = re.compile(r"[^\W\d_]+").findall
+
+
+def wrapped(text: str) -> set[tuple[str, str, str]]:
+    """(before, after, name) of the words in odd marks or doubled capitals; name is one of NAMES, or ''."""
+    out, done = set(), 0
+    for m in _odd.finditer(text):
+        if m.start() < done:
+            continue
+        start = m.start()
+        while start > done and not text[start - 1].isspace():
+            start -= 1
+        done = m.end()
+        while done < len(text) and not text[done].isspace():
+            done += 1
+        token = text[start:done]
+        w = token.strip(_prose)
+        if len(w) <= 60 and (x := _wrapped.fullmatch(w)) and x[1] and (x[4] or x[1][-1] not in "([{<"):
+            own = [p for p in _apart(x[3].lower()) if p in NAMES]
+            out.add((x[1], x[4], own[-1] if own else ""))
+    return out
+
+
+def syntaxes(texts: DataFrame) -> re.Pattern | None:
+    """The ways of writing a variable that the corpus shows beside PLACEHOLDER: wrappers seen around WRAP_NAMES of NAMES and around little else."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts: dict[tuple[str, str, str], int] = {}
+
+        def flush():
+            cols = list(zip(*counts)) or [(), (), ()]
+            n = list(counts.values())
+            counts.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(n, pa.int64())], names=["before", "after", "name", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                for x in wrapped(t):
+                    counts[x] = counts.get(x, 0) + 1
+                if len(counts) > 50_000:
+                    yield flush()
+        yield flush()
+
+    rows = texts.select("_text").mapInArrow(run, "before string, after string, name string, n long").groupBy("before", "after")
+    named = F.sum(F.when(F.col("name") != "", F.col("n")).otherwise(0))
+    found = rows.agg(F.count_distinct(F.nullif("name", F.lit(""))).alias("names"), (named / F.sum("n")).alias("share")).where((F.col("names") >= WRAP_NAMES) & (F.col("share") >= WRAP_SHARE)).collect()
+    ways = sorted(rf"{re.escape(r.before)}(?:\w+[.:-])*\w+?{re.escape(r.after)}" for r in found)
+    return re.compile(rf"(?<!\w)(?:{'|'.join(ways)})(?!\w)") if ways else None
+
+
 def filler_words(texts: DataFrame) -> set[str]:
     """Words in at least FILLER_SHARE of the lines that hold a seed word, so at most (words per line) / FILLER_SHARE of them."""
 
@@ -375,17 +455,25 @@ def is_filler(line: str, skel: str, known: Known, words: set[str]) -> bool:
     return len(own) >= 5 and sum(w in words for w in own) >= FILLER_WORDS * len(own)
 
 
-def leftovers(text: str, site: str, known: Known, words: set[str]) -> tuple[bool, bool, list[str]]:
+def without(patterns: list[re.Pattern], line: str) -> str:
+    for p in patterns:
+        line = p.sub("", line)
+    return line
+
+
+def leftovers(text: str, site: str, known: Known, words: set[str], ways: re.Pattern | None = None) -> tuple[bool, bool, list[str]]:
     """(holds left-overs of a template, is nothing but a left-over, labels of its lines)."""
     lines, found = lines_of(text), labelled(text, site, known)
     filler = error = False
-    marks = PLACEHOLDER.search(text) is not None
+    written = [p for p in (PLACEHOLDER, ways) if p is not None and p.search(text)]
+    marks = bool(written)
     rest: list[str] = []
     for line, (label, skel) in zip(lines, found):
+        marks = marks or bool(known.slots and skel and known.unfilled(bare(line)))
         if label == "story":
             if is_filler(line, skel, known, words):
                 filler = True
-            elif (skel or len(line) > LINE) and (not marks or PLACEHOLDER.sub("", line).strip()):
+            elif (skel or len(line) > LINE) and (not written or without(written, line).strip()):
                 rest.append(line)
         elif label in ("furniture", "teaser") and known.errors:
             error = error or key_of(skel) in known.errors or label == "teaser" and any(k in known.errors for k, _ in keys_of(bare(line), site))
@@ -397,17 +485,17 @@ def leftovers(text: str, site: str, known: Known, words: set[str]) -> tuple[bool
 def judged(df: DataFrame, key: str = "result_id", text: str = "fetched_text", domain: Column | None = None) -> DataFrame:
     """(key, leftover, whole, furniture array<int>, body): a row for each non-empty text. body is its main body, '' for error pages and filler."""
     texts = scan(df, key, text, domain)
-    shared = texts.sparkSession.sparkContext.broadcast((learned(texts), filler_words(texts)))
+    shared = texts.sparkSession.sparkContext.broadcast((learned(texts), filler_words(texts), syntaxes(texts)))
     kind = df.schema[key].dataType.simpleString()
 
     def make():
-        known, words = shared.value
+        known, words, ways = shared.value
 
         def batch(keys, domains, values):
             left, wholes, numbers, bodies = [], [], [], []
             for d, t in zip(domains, values):
                 t = rendered(t)
-                a, whole, found = leftovers(t, site_name(d), known, words)
+                a, whole, found = leftovers(t, site_name(d), known, words, ways)
                 left.append(a)
                 wholes.append(whole)
                 numbers.append([] if whole else [i for i, x in enumerate(found) if x not in ("", "story")])

@@ -46,3 +46,19 @@ def test_empty_table(spark):
 def test_shapes():
     assert L.shape("Home | World | Sport", False) == "menu" and L.shape("Lindow, Tuesday", False) == "date" and L.shape("Lindow 3° / 9°", False) == "date"
     assert L.shape("Ann Lee, 5 hours ago: I saw it.", True) == "comment" and L.shape("A headline, with a comma", False) == ""
+
+
+def test_syntaxes_off_the_list_are_learned(spark):
+    rows = corpus() + [(400 + i, "northgazette.example", f"A line with QQ{n}QQ stands here and %({n.lower()})s too {{{n.lower()}}} of the {w} story.") for i, (n, w) in enumerate(zip(["TITLE", "CAPTION", "BYLINE", "DATE"], WORDS))]
+    rows += [(410, "x.example", "Now a fifth one QQRUBRICQQ in a sentence of its own."), (411, "x.example", "Words in *some* marks and a #title and one more *name* here.")]
+    out = judged(spark, rows)
+    assert all(out[400 + i].leftover for i in range(4)) and out[410].leftover and not out[411].leftover
+
+
+def test_slots_of_aligned_lines(spark):
+    names = ["Ann Lee", "Bo Marsh", "Cy Dorn", "Di Falk", "Ed Gray", "Flo Hart"]
+    line = "Written today by {0} for our readers"
+    rows = [(i, "northgazette.example", f"{STORY.format(WORDS[i % 12], WORDS[i % 7], i)} And number {i} of them went home again.\n\n{line.format(names[i % 6])}") for i in range(30)]
+    rows += [(100 + i, "northgazette.example", f"{STORY.format('last', WORDS[i], 'old')} And so on.\n\n{line.format(x)}") for i, x in enumerate(["", "Name", "undefined", "Gus Ives"])]
+    out = judged(spark, rows)
+    assert [out[100 + i].leftover for i in range(4)] == [True, True, True, False] and not any(out[i].leftover for i in range(30))
