@@ -1,20 +1,23 @@
 """The whole run as one plan: group, extract the representatives' pages, choose, expand, and sum up.
 
 Pages come from provider tables: live (url, html, http_status, error), reader (url, body, http_status), robots (host, robots_txt,
-http_status). Jobs are joined to them by address; nothing is fetched here.
+http_status), archive index (url, timestamp, original, statuscode, mimetype, digest) and archive pages (timestamp, original, html,
+http_status). Jobs are joined to them by address; nothing is fetched here. Results of earlier runs come in as a cache (cache_key,
+result as JSON of a row's recovered columns, expires_at), and a model as a function.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as X
 from gleanery.functions.constants import RESULT_DEFAULTS
 from gleanery.functions.urls import canonical_url, host
-from gleanery.operators import dedupe, extract, health, rank
+from gleanery.operators import dedupe, enrich, extract, health, rank
 from gleanery.plans.options import Options
 from gleanery.sources import io
 
@@ -32,15 +35,34 @@ def jobs_of(rows: DataFrame, o: Options) -> DataFrame:
     return chosen.select(F.col("dedupe_key").alias("job_key"), F.col("representative_row").alias("row_id"), canonical_url("representative_url").alias("url")).withColumn("host", host(F.col("url")))
 
 
-def recovered(jobs: DataFrame, o: Options, live: DataFrame | None, reader: DataFrame | None, robots: DataFrame | None, agent: str = "gleanery") -> DataFrame:
+def archived(todo: DataFrame, o: Options, index: DataFrame, pages: DataFrame) -> DataFrame:
+    """Candidates of the jobs' snapshots, latest first, up to the first that is good enough; of all snapshots with the profile maximum."""
+    shots = rank.snapshots(index.join(todo.select("url").distinct(), "url", "left_semi"))
+    own = shots.select("url", "timestamp", "original", "place").join(pages.dropDuplicates(["timestamp", "original"]), ["timestamp", "original"])
+    jobs = todo.select("job_key", F.col("url").alias("page")).join(own.withColumnRenamed("url", "page"), "page")
+    each = F.concat_ws("\n", "job_key", F.col("place").cast("string"))
+    named = jobs.select(each.alias("job_key"), io.snapshots_url(F.col("timestamp"), F.col("original")).alias("url"), "html", "http_status", F.lit("").alias("error"))
+    found = extract.extracted(named, o.min_chars, "archive")
+    found = found.withColumn("place", F.substring_index("job_key", "\n", -1).cast("int")).withColumn("job_key", F.expr("substring_index(job_key, '\\n', 1)"))
+    kept = rank.snapshot_stop(found, enough=float("inf") if o.profile == "maximum" else 82)
+    return kept.withColumn("seq", F.col("place") * 1000 + F.col("seq")).drop("place")
+
+
+def cache_key(url: Column, o: Options) -> Column:
+    return io.cache_key(url, o.route, o.profile, o.min_chars, o.use_reader, o.use_archive, o.respect_robots)
+
+
+def recovered(jobs: DataFrame, o: Options, live: DataFrame | None, reader: DataFrame | None, robots: DataFrame | None, agent: str = "gleanery", index: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
     """One result per job, by row_id."""
     gated = io.robots_gate(jobs, robots, agent) if robots is not None and o.respect_robots else jobs.withColumns({"robots_allowed": F.lit(True), "robots_note": F.lit("robots.txt not checked")})
     todo = gated.where("url != '' and robots_allowed")
     found = []
     for no, route in enumerate(o.routes()):
-        if route == "live" and live is not None:
-            pages = todo.join(live, "url").select("job_key", "url", "html", "http_status", "error")
-            found.append(extract.extracted(pages, o.min_chars, "live").withColumn("route_no", F.lit(no)))
+        if route == "archive" and index is not None and pages is not None:
+            found.append(archived(todo, o, index, pages).withColumn("route_no", F.lit(no)))
+        elif route == "live" and live is not None:
+            fetched = todo.join(live, "url").select("job_key", "url", "html", "http_status", "error")
+            found.append(extract.extracted(fetched, o.min_chars, "live").withColumn("route_no", F.lit(no)))
         elif route == "reader" and reader is not None:
             texts = io.reader_pages(todo.join(reader, "url")).withColumn("text", X.clean(F.col("text")))
             points = X.judged(texts, "text", F.col("http_status"), o.min_chars)
@@ -67,9 +89,39 @@ def recovered(jobs: DataFrame, o: Options, live: DataFrame | None, reader: DataF
     return out.select("row_id", *(c.alias(k) for k, c in filled.items()))
 
 
-def run(rows: DataFrame, o: Options, live: DataFrame | None = None, reader: DataFrame | None = None, robots: DataFrame | None = None) -> Run:
+def analysed(full: DataFrame, o: Options, model: Callable[[str], str] | None) -> DataFrame:
+    """The rows with a model's answers: one call a key of equal stories with reuse_ai, else one a row."""
+    summary = F.col(o.summary_column) if o.summary_column and o.summary_column in full.columns else None
+    shared = dedupe.reuse_key(F.col("dedupe_key"), F.col("extracted_headline"), summary, F.col("row_id")) if o.reuse_ai else F.concat(F.lit("__unique_ai__"), F.col("row_id").cast("string"))
+    keyed = full.withColumn("ai_key", shared)
+    jobs = keyed.groupBy("ai_key").agg(F.min_by(F.coalesce("fetched_text", F.lit("")), "row_id").alias("text"), F.min("row_id").alias("row_id"))
+    answers = enrich.analysed(jobs.select("ai_key", X.evidence_pack(F.col("text")).alias("pack")), model)
+    return dedupe.reuse(full, answers.join(jobs.select("ai_key", "row_id"), "ai_key").drop("ai_key"), shared)
+
+
+def run(
+    rows: DataFrame,
+    o: Options,
+    live: DataFrame | None = None,
+    reader: DataFrame | None = None,
+    robots: DataFrame | None = None,
+    index: DataFrame | None = None,
+    pages: DataFrame | None = None,
+    cache: DataFrame | None = None,
+    now: Column | None = None,
+    model: Callable[[str], str] | None = None,
+) -> Run:
     o = o.tuned()
-    results = recovered(jobs_of(rows, o), o, live, reader, robots)
+    todo = jobs_of(rows, o)
+    hits = None
+    if cache is not None:
+        hits, todo = io.cached(todo.withColumn("cache_key", cache_key(F.col("url"), o)), cache, F.current_timestamp() if now is None else now)
+        todo = todo.drop("cache_key")
+    results = recovered(todo, o, live, reader, robots, index=index, pages=pages)
+    if hits is not None:
+        kept = hits.select("row_id", F.from_json("result", results.drop("row_id").schema).alias("r")).select("row_id", "r.*")
+        results = results.unionByName(kept)
     full = dedupe.expand(rows, results, o.group_column, o.url_column)
     domain = health.domain_of("source_url_used", "canonical_url", o.url_column)
-    return Run(full, health.run_summary(full), health.in_order(health.domain_health(full, domain)))
+    summary, states = health.run_summary(full), health.in_order(health.domain_health(full, domain))
+    return Run(analysed(full, o, model) if o.enable_ai else full, summary, states)
