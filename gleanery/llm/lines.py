@@ -3,8 +3,10 @@
 A line is known by the XXH64 of its letters in lower case. Each task keeps one mergeable Misra-Gries
 summary per domain: at most ``counters`` counters; on overflow all counters fall by the one that would be
 next, and this loss is added to the summary's error. Summaries merge by addition, so a line's true count is at
-most its counter plus the domain's errors, and every line that can reach the limit becomes a candidate
-however large the error is. A second pass counts the candidates exactly, in distinct texts of the domain.
+most its counter plus the domain's errors, and every line that can reach the limit becomes a candidate.
+Where the errors of a domain reach the limit itself, a line may have dropped out of all its summaries; the
+lines of such a domain are counted without a summary. A second pass counts the candidates exactly, in
+distinct texts of the domain.
 
 Null and empty texts, rows without a domain and lines without letters take no part. Repeated rows are listed
 as often as they occur, while equal texts count once. Only the named columns are read.
@@ -96,7 +98,26 @@ def candidates(texts: DataFrame, counters: int = COUNTERS) -> DataFrame:
     merged = summaries(texts, counters).groupBy("domain", "line").agg(F.sum("estimate").alias("estimate"), F.sum("error").alias("error"))
     errors = merged.where("line = 0").select("domain", F.col("error").alias("loss"))
     limits = total.join(errors, "domain").select("domain", "loss", F.greatest(F.lit(LEAST_TEXTS), "n").alias("least"))
-    return merged.where("line != 0").join(limits, "domain").where("estimate + loss >= least").select("domain", "line", "least")
+    limits = checkpointed(limits)
+    sure = merged.where("line != 0").join(limits.where("loss < least"), "domain").where("estimate + loss >= least").select("domain", "line", "least")
+    open_domains = limits.where("loss >= least").select("domain", "least")
+    return sure if open_domains.isEmpty() else sure.unionByName(counted(texts, open_domains))
+
+
+def counted(texts: DataFrame, domains: DataFrame) -> DataFrame:
+    """(domain, line, least): lines in at least ``least`` distinct texts of the given domains (domain, least), counted exactly."""
+    own = texts.select(F.col("_domain").alias("domain"), "_text").join(_small(domains.select("domain")), "domain", "left_semi").distinct()
+
+    def batch(names, values):
+        doms, lines = [], []
+        for d, t in zip(names, values):
+            keys = {line_key(x) for x in t.split("\n")} - {0}
+            doms += [d] * len(keys)
+            lines += keys
+        return doms, lines
+
+    counts = map_rows(own, ["domain", "_text"], lambda: batch, "domain string, line long").groupBy("domain", "line").agg(F.count("*").alias("n"))
+    return counts.join(_small(domains), "domain").where("n >= least").select("domain", "line", "least")
 
 
 def _small(df: DataFrame) -> DataFrame:

@@ -56,3 +56,13 @@ def test_summary_bound():
     s.shrink()
     assert len(s.counts) <= 8
     assert all(s.counts.get(k, 0) <= n <= s.counts.get(k, 0) + s.error for k, n in true.items())
+
+
+def test_lines_dropped_from_all_summaries(spark):
+    data = [(i, "long.example", "\n".join([f"only {chr(97 + i // 26)}{chr(97 + i % 26)} {chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)] + ["Standing line"] * (i < 6))) for i in range(60)]
+    data = data[6:] + data[:6] + [(100 + i, "short.example", f"Menu\nstory {chr(97 + i)}") for i in range(6)]
+    df = frame(spark, data).coalesce(1)
+    found = L.occurrences(df, domain=F.col("d"), counters=8)
+    assert sorted((r.result_id, r.line_no) for r in found.collect()) == brute(data)
+    limits = L.summaries(L._texts(df, "result_id", "fetched_text", F.col("d")), 8).where("line = 0 and domain = 'long.example'").first()
+    assert limits.error >= 6
