@@ -28,6 +28,16 @@ _hidden = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _space = re.compile(r"\s+")
 
 
+#: Elements around what isn't the main body of a page.
+ASIDE = {"nav", "footer", "aside", "header", "form", "menu"}
+
+
+class Text(str):
+    """A text of the tree with the number of the source line it begins in."""
+
+    line = 0
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children", "parent")
 
@@ -93,7 +103,9 @@ class _Builder(HTMLParser):
             n = n.parent
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        text = Text(data)
+        text.line = self.getpos()[0] - 1
+        self.at.children.append(text)
 
 
 def parse(source: str) -> Node:
@@ -116,29 +128,45 @@ def visible(n: Node) -> bool:
     return n.tag not in UNSEEN and "hidden" not in a and a.get("aria-hidden") != "true" and not _hidden.search(a.get("style", ""))
 
 
-def _table(n: Node) -> list[str]:
-    rows = []
+def _table(n: Node) -> list[tuple[str, list[int]]]:
+    """The rows of a table, cells aligned, with their source lines."""
+    rows, of = [], []
     for r in n.walk():
         if r.tag == "tr" and visible(r):
-            rows.append([_space.sub(" ", render_node(c, False)).strip() for c in r.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)])
+            cells = [render_lines(c, False) for c in r.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)]
+            rows.append([_space.sub(" ", " ".join(x.text for x in c)).strip() for c in cells])
+            of.append([i for c in cells for x in c for i in x])
     width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-    return ["  ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in rows]
+    return [("  ".join(c.ljust(w) for c, w in zip(r, width)).rstrip(), x) for r, x in zip(rows, of)]
 
 
-def render_node(top: Node, tables: bool = True) -> str:
-    """Visible text of a node. Cells of a table inside a cell run on."""
-    lines: list[str] = []
-    line = ""
-    gap = False
+class Line(list):
+    """A visible line: its source lines, with the text and whether it stands in an element of ASIDE."""
+
+    text = ""
+    aside = False
+
+
+def _sources(text: str) -> list[int]:
+    first = getattr(text, "line", 0)
+    return [first + i for i, part in enumerate(text.split("\n")) if part and not part.isspace()]
+
+
+def render_lines(top: Node, tables: bool = True) -> list[Line]:
+    """The visible lines of a node, blank ones between spaced blocks. Cells of a table inside a cell run on."""
+    lines: list[Line] = []
+    text, sources, gap, aside = "", [], False, 0
 
     def end(blank: bool) -> None:
-        nonlocal line, gap
-        if line.strip():
+        nonlocal text, sources, gap
+        if text.strip():
             if gap and lines:
-                lines.append("")
-            lines.append(line.strip())
+                lines.append(Line())
+            row = Line(sorted(set(sources)))
+            row.text, row.aside = text.strip(), aside > 0
+            lines.append(row)
             gap = False
-        line = ""
+        text, sources = "", []
         gap |= blank
 
     stack: list[tuple[int, Node | str]] = [(0, top)]
@@ -147,43 +175,54 @@ def render_node(top: Node, tables: bool = True) -> str:
         done, n = stack.pop()
         if isinstance(n, str):
             s = _space.sub(" ", n)
-            line += s if line and not line.endswith(" ") else s.lstrip()
+            text += s if text and not text.endswith(" ") else s.lstrip()
+            sources += _sources(n)
             continue
         if done:
             if n.tag in ("ol", "ul"):
                 counts.pop()
-            end(n.tag in SPACED)
+            if n.tag in BLOCK:
+                end(n.tag in SPACED)
+            aside -= n.tag in ASIDE
             continue
         if not visible(n):
             continue
         if n.tag == "br":
             end(False)
             continue
-        if n.tag in BLOCK:
-            end(n.tag in SPACED)
+        if n.tag in BLOCK or n.tag in ASIDE:
+            if n.tag in BLOCK:
+                end(n.tag in SPACED)
+            aside += n.tag in ASIDE
             stack.append((1, n))
         if n.tag == "table" and tables:
-            for row in _table(n):
-                line = row
+            for row, of in _table(n):
+                text, sources = row, of
                 end(False)
             continue
         if n.tag == "pre":
-            for row in n.text().split("\n"):
-                line = row
-                end(False)
+            for t in (c for m in n.walk() for c in m.children if isinstance(c, str)):
+                for i, row in enumerate(t.split("\n")):
+                    text, sources = row, [getattr(t, "line", 0) + i]
+                    end(False)
             continue
         if n.tag in ("ol", "ul"):
             counts.append(0 if n.tag == "ol" else -1)
         elif n.tag == "li":
             if counts and counts[-1] >= 0:
                 counts[-1] += 1
-            line = f"{counts[-1]}. " if counts and counts[-1] > 0 else "- "
-        elif n.tag in ("td", "th") and line:
-            line += " "
+            text = f"{counts[-1]}. " if counts and counts[-1] > 0 else "- "
+        elif n.tag in ("td", "th") and text:
+            text += " "
         stack += [(0, c) for c in reversed(n.children)]
     end(False)
-    return "\n".join(lines)
+    return lines
+
+
+def render_node(top: Node, tables: bool = True) -> str:
+    return "\n".join(x.text for x in render_lines(top, tables))
 
 
 def render(source: str) -> str:
+    """The visible text of a page."""
     return render_node(parse(source))
