@@ -1,17 +1,24 @@
 """Problems 5 and 6: the main body of a page, and pages or texts that are left-overs of a template.
 
-Both work on the lines of a rendered page (markup is rendered first, see ``gleanery.functions.html``). A line's
-*skeleton* is its letters in lower case after tokens with figures are dropped and the site's own name is replaced
-by a slot, so the copies of one template line on many sites fall together: this aligns records of a template.
-Skeletons that recur in a share of all stories are kept with facts on where they stand, all counted over the whole corpus:
-
-* set apart by blank lines: a subhead, closing credit or filler of stories, otherwise furniture;
+A text is laid out first: markup goes through the tree builder and renderer of ``gleanery.functions.html``, which keep the
+source lines of every visible line and whether it stands in an element beside the main body; a text that is rendered
+already gets the same lines from its own layout (blank lines, list marks, rows of cells, lists under a heading). A line's *skeleton* is
+its letters in lower case after tokens with figures are dropped and the site's own name is replaced by a slot, so the copies
+of one template line on many sites fall together: this aligns the records of a template. Besides its skeleton a line may
+recur by its lead words, its *shape* (names and figures replaced by slots) or its *frame* (the letters around its one name).
+
+What recurs is decided for each site by itself, so a site is judged alike in a small and a large corpus: a key is furniture
+if on some site it stands in at least SITE_STORIES stories and in SITE_SHARE of them (on two sites, in half of that), then it is on all sites. Facts on where
+its lines stand, counted over the whole corpus, tell its kind:
+
+* set apart by blank lines: a subhead or closing credit of stories;
 * followed by two or more unpunctuated lines: the head of a side list;
-* on pages that have nothing but furniture: a whole-page template, that is an error page or a notice.
+* on pages without a story, on several sites: a whole-page template, that is an error page or a notice;
+* punctuated, set apart, the same on several sites, and often beside other such lines or on pages without a story: a default of
+  the template's body, that is filler. Words that stand mostly on pages with such lines are filler words.
 
-The table of recurring skeletons is bounded: a skeleton needs SHARE of the stories, so there are at most
-(lines per story) / SHARE of them, whatever the corpus. Stories are told apart by their longest line, so copies of one
-story never make its sentences recur.
+Stories are told apart by their longest paragraph, so copies of one story never make its sentences recur. The recurring keys are looked up
+in a broadcast table behind a count of its rows, beyond it by a join on the key; both ways give the same rows.
 
 Null and empty texts give no lines. Repeated rows come out as often as they came in. Only named columns are read.
 """
@@ -19,6 +26,8 @@ Null and empty texts give no lines. Repeated rows come out as often as they came
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import lru_cache
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -27,37 +36,28 @@ from pyspark.sql import functions as F
 from gleanery.functions import html
 from gleanery.functions.urls import page_domain
 from gleanery.llm.arrow import map_rows
-
-LEAST_STORIES, SHARE = 6, 0.0003
-#: Lines with names in them recur by chance more often, so their frames need a larger share.
-FRAME_STORIES, FRAME_SHARE = 10, 0.003
-APART, LEAD, LISTHEAD, ERROR = 0.3, 0.8, 0.85, 0.5
+from gleanery.session import broadcastable, checkpointed
+
+#: A key recurs on a site if it stands in so many of its stories and in this share of them; half the share is enough on two sites.
+SITE_STORIES, SITE_SHARE = 3, 0.03
+#: An error template or a filler line stands on so many sites, in so many texts.
+SITES, ERROR_STORIES, FILLER_STORIES = 2, 3, 6
+APART, LEAD, LISTHEAD, ERROR, FILLER_LEAD = 0.3, 0.8, 0.85, 0.7, 0.6
+#: A page has a story if it has a sentence of so many characters.
+STORY_CHARS = 100
+#: Recurring keys of up to so many rows are broadcast, about 100 bytes each in a worker.
+BROADCAST_KEYS = 200_000
 SITE = "∎"
 
-#: Names of the days in the languages of the corpus, as they stand on page-level date lines.
-DAYS = set(
-    """
-monday tuesday wednesday thursday friday saturday sunday
-montag dienstag mittwoch donnerstag freitag samstag sonntag
-lundi mardi mercredi jeudi vendredi samedi dimanche
-lunes martes miércoles jueves viernes sábado domingo
-segunda-feira terça-feira quarta-feira quinta-feira sexta-feira segunda terça quarta quinta sexta
-""".split()
-)
-
-#: A template line has at most so many characters; longer lines are running text, or comments.
-LINE = 200
-
 _letters = re.compile(r"[\W\d_]+")
-_figured = re.compile(r"\S*\d\S*")
+_figured = re.compile(r"(?<!\S)\S*\d\S*")
+_figures = re.compile(r"\d+")
 _digit = re.compile(r"\d").search
 _closed = re.compile(r"[.!?:…][\"”»’'“)\]]*\s*(?:»|\(\d+\))?$").search
 _ornament = "•*≡–—- \t»\r\v\f\xa0"
 _menu = re.compile(r"\s*(?:\s[|·/>]\s|\||·)\s*")
-_comment = re.compile(r"^[^\W\d_][^:,.;!?]{2,60}, [^:,.;]{0,24}\d+[^:,.;]{0,24}: \S")
-_dated = re.compile(r"\b(?:19|20)\d\d\b")
 _lead = re.compile(r"^(\S+(?: \S+){0,2}?) ?(?:: | > | → | · | » )(?=\S)")
-_weather = re.compile(r"-?\d+\s*°")
+_name = re.compile(r"[^\W\d_][\w'’-]*")
 _label = re.compile(r"[^\d.]*")
 _ascii_rest = bytes(c for c in range(128) if not chr(c).isalpha())
 
@@ -70,16 +70,24 @@ def site_name(domain: str | None) -> str:
 def letters(line: str) -> str:
     """The letters of a line in lower case."""
     k = line.lower().encode("utf-8", "replace").translate(None, _ascii_rest).decode()
-    return k if k.isascii() else _letters.sub("", k)
+    return k if k.isascii() or k.isalpha() else _letters.sub("", k)
 
 
-def skeleton(line: str, site: str) -> str:
+def _skeleton(line: str, site: str) -> str:
     k = letters(_figured.sub(" ", line) if _digit(line) else line)
     if len(site) > 4:
         k = k.replace(site, SITE) if site in k else k.replace(site[:-1], SITE)
     return k
 
 
+_cached = lru_cache(30_000)(_skeleton)
+
+
+def skeleton(line: str, site: str) -> str:
+    """A line's letters in lower case, figured tokens dropped, the site's name a slot."""
+    return _cached(line, site) if len(line) < 100 else _skeleton(line, site)
+
+
 def key_of(skel: str) -> int:
     return xxhash.xxh3_64_intdigest(skel) - (1 << 63)
 
@@ -99,18 +107,13 @@ def bare(line: str) -> str:
     return line.strip(_ornament)
 
 
-def shape(s: str, ends: bool) -> str:
-    """'menu', 'date', 'comment' or '': what a bare line is by its form alone."""
-    if not ends and ("|" in s or "·" in s or " / " in s or " > " in s):
+def cells(s: str) -> list[str]:
+    """The cells of a line that is a row of two or more short ones, as menus and paths are; else none."""
+    if "|" in s or "·" in s or " / " in s or " > " in s:
         parts = [p for p in _menu.split(s) if p]
-        if len(parts) >= 3 and all(p.count(" ") < 5 for p in parts):
-            return "menu"
-    if not ends and len(s) <= 60:
-        if "°" in s and s.count(" ") < 6 and _weather.search(s):
-            return "date"
-        if ("," in s or _digit(s)) and 1 <= s.count(" ") < 6 and ("," in s or _dated.search(s)) and any(bare(w.lower()).strip(",.") in DAYS for w in s.split()):
-            return "date"
-    return "comment" if ": " in s[:160] and _comment.match(s) else ""
+        if len(parts) >= 2 and all(p.count(" ") < 5 for p in parts):
+            return parts
+    return []
 
 
 def teaser(s: str) -> str:
@@ -119,6 +122,21 @@ def teaser(s: str) -> str:
     return m[1] if m else ""
 
 
+def shaped(s: str) -> str:
+    """A line's form: its first word and its capitalised words are names, runs of names and of figures become one slot each."""
+    out: list[str] = []
+    for i, w in enumerate(_figures.sub("0", s).split()):
+        m = _name.search(w)
+        if m and (i == 0 or m[0][0].isupper()):
+            w = w[: m.start()] + "N" + w[m.end() :]
+        if w == "N" and out and out[-1] == "N":
+            continue
+        if w[:1] == "N" and out and out[-1] == "N":
+            out.pop()
+        out.append(w)
+    return " ".join(out)
+
+
 def frame(s: str) -> tuple[str, str] | None:
     """The letters before the first and after the last name of a bare line, where a name is a capitalised word after the first; None without one.
 
@@ -134,27 +152,72 @@ def frame(s: str) -> tuple[str, str] | None:
     return (before, after) if len(before) + len(after) >= 10 else None
 
 
-def keys_of(s: str, site: str) -> list[tuple[int, str]]:
-    """(key, text) of all by which a bare, unpunctuated line may recur besides its skeleton: its lead words and its frame."""
+def keys_of(s: str, site: str, ends: bool) -> list[tuple[int, str]]:
+    """(key, text) of all by which a bare line may recur besides its skeleton."""
     out = []
-    if t := teaser(s):
-        out.append(f"{skeleton(t, site)}>")
-    if f := frame(s):
-        out.append(f"{f[0]}~{f[1]}")
+    at = s.find(": ", 0, 160)
+    if at > 0 and _digit(s, 0, at) and s.count(" ", 0, at) < 9:
+        out.append(f"{shaped(s[:at])}:")
+    if not ends:
+        if len(s) <= 60 and s.count(" ") < 6 and _digit(s):
+            out.append(f"{shaped(s)}#")
+        if t := teaser(s):
+            out.append(f"{skeleton(t, site)}>")
+        if f := frame(s):
+            out.append(f"{f[0]}~{f[1]}")
     return [(key_of(x), x) for x in out]
 
 
-def facts(text: str, site: str) -> tuple[int, list[tuple[int, bool, int, int, int, int]]]:
-    """The story's id and, for each template-sized line with letters, (key, is a frame, is set apart before running text,
-    heads a list, follows a blank line, is a sentence without the site's name)."""
-    lines = lines_of(text)
+@lru_cache(30_000)
+def slots_of(s: str) -> list[int]:
+    """Keys of the frames that a bare line would fill with nothing, a variable's name or a default."""
+    words = s.split()
+    if not 3 <= len(words) <= 16:
+        return []
+    out = [key_of(f"~~{letters(s)}")]
+    for i, w in enumerate(words):
+        if i and letters(w) in UNFILLED:
+            out.append(key_of(f"{letters(' '.join(words[:i]))}~{letters(' '.join(words[i + 1 :]))}"))
+    return out
+
+
+class Page:
+    """The visible lines of a text, with their source lines and whether they stand beside the main body by markup."""
+
+    __slots__ = ("lines", "sources", "aside")
+
+    def __init__(self, text: str):
+        if html.has_markup(text):
+            rows = html.render_lines(html.parse(text))
+            self.lines, self.sources = [r.text for r in rows], [list(r) for r in rows]
+            self.aside = [r.aside for r in rows]
+            if all(a or not x for a, x in zip(self.aside, self.lines)):
+                self.aside = [False] * len(rows)  # all in one such element: it is the page's own frame
+        else:
+            self.lines = lines_of(text)
+            self.sources, self.aside = None, None
+
+    def numbers(self, text: str, gone: list[int]) -> list[int]:
+        """Source lines that hold letters and nothing but the given visible lines; of marked-up texts also those that show nothing."""
+        if self.sources is None:
+            return gone
+        out = set(gone)
+        kept = {n for i, of in enumerate(self.sources) if i not in out for n in of}
+        return [n for n, x in enumerate(lines_of(text)) if n not in kept and letters(x)]
+
+
+def facts(page: Page, site: str, text: str) -> tuple[int, list[tuple]]:
+    """The story's id, and for each line with letters and each of its keys (key, filler's hash, is set apart before running text,
+    heads a list, follows a blank line, is a sentence without the site's name, is a line of a page without a story)."""
+    lines = page.lines
     n = len(lines)
     blank = [not x or x.isspace() for x in lines]
     ends = [not y and closed(x) for x, y in zip(lines, blank)]
+    storyless = not any(e and len(x) >= STORY_CHARS for x, e in zip(lines, ends))
     out = []
     for i in range(n):
         line = lines[i]
-        if blank[i] or len(line) > LINE or not (skel := skeleton(line, site)):
+        if blank[i] or not (skel := skeleton(line, site)):
             continue
         lead = i > 0 and blank[i - 1]
         apart = False
@@ -165,294 +228,319 @@ def facts(text: str, site: str) -> tuple[int, list[tuple[int, bool, int, int, in
             apart = j < n and ends[j]
         heads = i + 2 < n and all(not blank[j] and not ends[j] and lines[j].count(" ") >= 2 for j in (i + 1, i + 2))
         sentence = lead and SITE not in skel and _closed(line.rstrip(), max(0, len(line) - 12)) is not None
-        out.append((key_of(skel), False, int(apart), int(heads), int(lead), int(sentence)))
-        if not ends[i]:
-            out += [(k, "~" in x, 0, 0, 0, 0) for k, x in keys_of(bare(line), site)]
-    longest = max(lines, key=len)
+        alone = storyless and skel != SITE and not cells(line)
+        out.append((key_of(skel), 0, int(apart), int(heads), int(lead), int(sentence), int(alone)))
+        if len(line) <= 200 and not line.startswith("- "):
+            s = bare(line)
+            for k, x in keys_of(s, site, ends[i]):
+                if "~" not in x:
+                    out.append((k, 0, 0, 0, 0, 0, 0))
+                    continue
+                before, _, after = x.partition("~")
+                whole = letters(s)
+                fill = key_of(whole[len(before) : len(whole) - len(after)])
+                out += [(k, fill, 0, 0, 0, 0, 0), (key_of(f"~~{before}{after}"), fill, 0, 0, 0, 0, 0)]
+    longest = max((x for i, x in enumerate(lines) if i and blank[i - 1]), key=len, default="") or max(lines, key=len, default="")
     return key_of(longest if len(longest) > 100 else text), out
 
 
-FURNITURE, BODY, HEAD, FILLER = 0, 1, 2, 3
-
+FURNITURE, BODY, HEAD, FILLER, ERRORS, SLOT = range(6)
 
-class Known:
-    """The recurring keys of a corpus: kinds by key, frames by their beginning, beginnings of furniture and keys of error templates."""
 
-    def __init__(self, kinds: dict[int, int], texts: dict[int, str] | None = None, errors: set[int] | None = None, slots: set[int] | None = None):
-        self.kinds, self.errors = kinds, errors or set()
-        self.slots: dict[str, list[tuple[str, str]]] = {}
-        self.frames: dict[str, list[tuple[str, str]]] = {}
-        self.starts: set[str] = set()
-        for k, x in (texts or {}).items():
-            if "~" in x:
-                before, _, after = x.partition("~")
-                self.frames.setdefault(before[:6], []).append((before, after))
-                if slots and k in slots:
-                    self.slots.setdefault(before[:6], []).append((before, after))
-            elif kinds.get(k) == FURNITURE:
-                self.starts.update(x[:n] for n in range(6, len(x)))
-
-    def framed(self, skel: str) -> bool:
-        """Whether a line without visible names begins and ends like a recurring frame."""
-        return any(skel.startswith(b) and skel.endswith(a) and len(skel) > len(a) + len(b) for b, a in self.frames.get(skel[:6], ()))
-
-    def unfilled(self, s: str) -> bool:
-        """Whether a bare line is a frame whose slot holds nothing, the name of a variable or a default."""
-        k = letters(s)
-        for b, a in self.slots.get(k[:6], ()):
-            if len(k) >= len(a) + len(b) and k.startswith(b) and k.endswith(a):
-                filler = k[len(b) : len(k) - len(a)]
-                if filler in NAMES or filler in DEFAULTS or not filler and a:
-                    return True
-        return False
-
-
-def labelled(text: str, site: str, known: Known) -> list[tuple[str, str]]:
-    """(label, skeleton) of each line; labels are '' without letters, 'story', 'head' of a side list, its 'item', 'teaser',
-    'furniture' or a shape. Lines longer than a template line have no skeleton."""
-    lines = lines_of(text)
-    kinds, out, listing, last = known.kinds, [], False, ""
-    final = max((i for i, x in enumerate(lines) if x.strip()), default=-1)
+def labelled(page: Page, site: str, kinds: dict[int, int]) -> list[tuple[str, str]]:
+    """(label, skeleton) of each line; labels are '' without letters, 'story', or what a line beside the story is: 'head' of a
+    side list, its 'item', 'teaser', 'furniture', 'menu', 'error', or 'beside' by its markup."""
+    lines = page.lines
+    out, listing, last = [], False, ""
     for i, line in enumerate(lines):
         if not line or line.isspace():
             listing, last = False, ""
             out.append(("", ""))
             continue
-        skel = ""
-        if len(line) > LINE:
-            label = "comment" if ": " in line[:160] and _comment.match(bare(line)) else "story"
-        elif not (skel := skeleton(line, site)) and not letters(line):
+        skel = skeleton(line, site)
+        if not skel and not letters(line):
             out.append(("", ""))
             continue
+        ends, s = closed(line), bare(line)
+        kind = kinds.get(key_of(skel)) if skel else None
+        if page.aside and page.aside[i]:
+            label = "beside"
+        elif line.startswith("- ") and not listing and last == "story":
+            label = "story"  # a list of the story goes on from its text
+        elif kind == HEAD:
+            label = "head"
+        elif kind == ERRORS:
+            label = "error"
+        elif kind == FURNITURE:
+            label = "furniture"
+        elif kind is not None:
+            label = "story"
+        elif not ends and len(c := cells(s)) >= 2 and (len(c) > 2 or all(kinds.get(key_of(skeleton(p, site))) == FURNITURE for p in c)):
+            label = "menu"
+        elif len(line) <= 200 and any(kinds.get(k) in (FURNITURE, SLOT) for k, _ in keys_of(s, site, ends)):
+            label = "teaser"
+        elif ends:
+            label = "story"
+        elif SITE in skel:
+            label = "furniture"
         else:
-            ends, s = closed(line), bare(line)
-            kind = kinds.get(key_of(skel)) if skel else None
-            if line.startswith("- ") and not listing and last == "story":
-                label = "story"  # a list of the story goes on from its text
-            elif form := shape(s, ends):
-                label = form
-            elif kind == HEAD:
-                label = "head"
-            elif kind == FURNITURE:
-                label = "furniture"
-            elif kind is not None or ends:
-                label = "story"
-            elif SITE in skel:
-                label = "furniture"
-            elif any(k in kinds for k, _ in keys_of(s, site)):
-                label = "teaser"
-            elif (line.isupper() or line.islower()) and known.framed(skel):
-                label = "furniture"
-            elif listing:
-                label = "item"
-            elif ("|" in s or "·" in s) and len(parts := [p for p in _menu.split(s) if p]) == 2 and all(kinds.get(key_of(skeleton(p, site))) == FURNITURE for p in parts):
-                label = "menu"
-            elif i == final and len(skel) >= 6 and skel in known.starts:
-                label = "furniture"  # cut off with its text
-            else:
-                label = "story"
+            label = "item" if listing else "story"
         listing = label in ("head", "item")
         last = label
         out.append((label, skel))
     return out
 
 
+def keys_asked(page: Page, site: str) -> set[int]:
+    """All keys by which the lines of a page may be looked up."""
+    out = set()
+    for line in page.lines:
+        if not line or line.isspace():
+            continue
+        if skel := skeleton(line, site):
+            out.add(key_of(skel))
+        s = bare(line)
+        out.update(k for k, _ in keys_of(s, site, closed(line)))
+        out.update(key_of(skeleton(p, site)) for p in cells(s))
+        if len(line) <= 100:
+            out.update(slots_of(s))
+    return out
+
+
 def scan(df: DataFrame, key: str, text: str, domain: Column | None) -> DataFrame:
     d = page_domain() if domain is None else domain
     return df.where(F.length(text) > 0).select(F.col(key), F.coalesce(d, F.lit("")).alias("_domain"), F.col(text).alias("_text"))
 
 
-def rendered(text: str) -> str:
-    """A text's visible lines; a text without markup as it is."""
-    return html.render(text) if html.has_markup(text) else text
+COUNTED = ("apart", "heads", "lead", "ends", "storyless")
 
 
 def recurring(texts: DataFrame) -> DataFrame:
-    """(key, kind, n): the recurring keys of the corpus."""
+    """(key, kind): the recurring keys of the corpus, checkpointed."""
+    names = ["key", "site", "story", "low", "high", "n", *COUNTED]
 
     def run(batches):
         import pyarrow as pa
 
-        seen: dict[tuple[int, int], list[int]] = {}
+        seen: dict[tuple[int, int, int], list[int]] = {}
 
         def flush():
-            cols = [[k for k, _ in seen], [s for _, s in seen], *([v[i] for v in seen.values()] for i in range(7))]
+            cols = [*zip(*seen)] or [(), (), ()]
+            cols += [[v[i] for v in seen.values()] for i in range(len(names) - 3)]
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "story", "frame", "site", "n", "apart", "heads", "lead", "ends"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                story, rows = facts(rendered(t), site_name(d))
-                where = key_of(d)
-                for k, f, *flags in rows:
-                    v = seen.setdefault((k, story), [int(f), where, 0, 0, 0, 0, 0])
-                    v[2] += 1
-                    for i, x in enumerate(flags, 3):
-                        v[i] += x
+                story, rows = facts(Page(t), site_name(d), t)
+                site = key_of(d)
+                for k, fill, apart, heads, lead, ends, storyless in rows:
+                    v = seen.get((k, site, story))
+                    if v is None:
+                        seen[k, site, story] = [fill, fill, 1, apart, heads, lead, ends, storyless]
+                    else:
+                        if fill < v[0]:
+                            v[0] = fill
+                        if fill > v[1]:
+                            v[1] = fill
+                        v[2] += 1
+                        v[3] += apart
+                        v[4] += heads
+                        v[5] += lead
+                        v[6] += ends
+                        v[7] += storyless
                 if len(seen) > 200_000:
                     yield flush()
         yield flush()
 
-    rows = texts.select("_domain", "_text").mapInArrow(run, "key long, story long, frame long, site long, n long, apart long, heads long, lead long, ends long")
-    sums = [F.max("frame").alias("frame"), *(F.sum(c).alias(c) for c in ("n", "apart", "heads", "lead", "ends"))]
-    by_story = rows.groupBy("key", "story").agg(F.min("site").alias("low"), F.max("site").alias("high"), *sums)
-    by_key = by_story.groupBy("key").agg(F.count("*").alias("stories"), (F.min("low") < F.max("high")).alias("sites"), *sums)
-    total = texts.select(F.xxhash64("_text")).distinct().count()
-    least = F.when(F.col("frame") > 0, max(FRAME_STORIES, FRAME_SHARE * total)).otherwise(max(LEAST_STORIES, SHARE * total))
-    story = (F.col("apart") > APART * F.col("n")) | (F.col("lead") > LEAD * F.col("n"))
-    kind = F.when(story & (F.col("ends") * 2 > F.col("n")) & F.col("sites"), FILLER).when(story, BODY).when(F.col("heads") > LISTHEAD * F.col("n"), HEAD).otherwise(FURNITURE)
-    return by_key.where(F.col("stories") >= least).select("key", kind.alias("kind"), "n")
+    rows = texts.select("_domain", "_text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    sums = [F.min("low").alias("low"), F.max("high").alias("high"), *(F.sum(c).alias(c) for c in ("n", *COUNTED))]
+    by_site = rows.groupBy("key", "site", "story").agg(*sums).groupBy("key", "site").agg(F.count("*").alias("stories"), *sums)
+    totals = site_stories(texts)
+    totals = F.broadcast(totals) if broadcastable(totals, BROADCAST_KEYS) else totals
+    reached = lambda least: (F.col("stories") >= SITE_STORIES) & (F.col("stories") >= least * F.coalesce("total", F.lit(0)))
+    here = F.max(reached(SITE_SHARE)) | (F.count_if(reached(SITE_SHARE / 2)) >= 2)
+    by_key = by_site.join(totals, "site", "left").groupBy("key").agg(here.alias("here"), F.count("*").alias("sites"), F.sum("stories").alias("stories"), *sums)
+    share = lambda c: F.col(c) / F.col("n")
+    spread = F.col("sites") >= SITES
+    story = (share("apart") > APART) | (share("lead") > LEAD)
+    kind = (
+        F.when(spread & (F.col("stories") >= ERROR_STORIES) & (share("storyless") >= ERROR), ERRORS)
+        .when(spread & (F.col("stories") >= FILLER_STORIES) & (share("ends") >= FILLER_LEAD) & (share("lead") >= FILLER_LEAD), FILLER)
+        .when(~F.col("here"), None)
+        .when(story, BODY)
+        .when(share("heads") > LISTHEAD, HEAD)
+        .when((F.col("low") != 0) & (F.col("low") < F.col("high")), SLOT)
+        .otherwise(FURNITURE)
+    )
+    return checkpointed(by_key.select("key", kind.alias("kind")).where("kind is not null"))
+
+
+def site_stories(texts: DataFrame) -> DataFrame:
+    """(site, total): the distinct texts of each site."""
+    copies = texts.select("_domain", F.xxhash64("_text").alias("h")).distinct().groupBy("_domain").agg(F.count("*").alias("total"))
+    return map_rows(copies, ["_domain", "total"], lambda: lambda d, n: ([key_of(x) for x in d], n), "site long, total long")
+
+
+class Lookup:
+    """How the kinds of a text's keys are found: a broadcast table, or a column joined to the texts.
+
+    ``texts`` has the columns ``_domain``, ``_text`` and, joined, ``_kinds``; ``of(kinds column's value)`` is the table to look up in.
+    """
 
+    def __init__(self, texts: DataFrame, table: DataFrame, asked: Callable[[str, str], set[int]], limit: int = BROADCAST_KEYS):
+        self.columns = ["_domain", "_text"]
+        if broadcastable(table, limit):
+            self.shared = texts.sparkSession.sparkContext.broadcast({r.key: r.kind for r in table.collect()})
+            self.texts = texts
+            return
 
-def learned(texts: DataFrame) -> Known:
-    """All that recurs, on the driver; bounded as said above. A second scan finds the texts and the error templates."""
-    rows = recurring(texts).collect()
-    kinds, counts = {r.key: r.kind for r in rows}, {r.key: r.n for r in rows}
-    shared = texts.sparkSession.sparkContext.broadcast(Known(kinds))
+        def batch(domains, values):
+            copies, keys = [], []
+            for d, t in zip(domains, values):
+                own = asked(t, site_name(d))
+                copies += [copy_of(d, t)] * len(own)
+                keys += own
+            return copies, keys
 
-    def run(batches):
-        import pyarrow as pa
+        self.shared = None
+        wanted = map_rows(texts, ["_domain", "_text"], lambda: batch, "copy long, key long").distinct()
+        found = wanted.join(table, "key").groupBy("copy").agg(F.collect_list(F.struct("key", "kind")).alias("_kinds"))
+        others = [c for c in texts.columns if c not in self.columns]
+        keyed = map_rows(texts, [*others, *self.columns], lambda: lambda *c: ([copy_of(d, t) for d, t in zip(c[-2], c[-1])], *c), "copy long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*others, *self.columns).schema))
+        self.texts = keyed.join(found, "copy", "left").drop("copy")
+        self.columns = [*self.columns, "_kinds"]
 
-        known = shared.value
-        texts_of: dict[int, str] = {}
-        alone: dict[int, int] = {}
-        fillers: dict[int, set[int]] = {}
-        for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                t, site = rendered(t), site_name(d)
-                found = labelled(t, site, known)
-                alone_here = all(x[0] != "story" for x in found)
-                for line, (label, skel) in zip(lines_of(t), found):
-                    if label in ("furniture", "teaser"):
-                        k = key_of(skel)
-                        own = [(k, skel)] if k in known.kinds else [x for x in keys_of(bare(line), site) if x[0] in known.kinds]
-                        for k, x in own:
-                            if k not in texts_of:
-                                texts_of[k] = x
-                            if "~" in x and len(f := fillers.setdefault(k, set())) < SLOT_FILLERS:
-                                before, _, after = x.partition("~")
-                                whole = letters(line)
-                                f.add(key_of(whole[len(before) : len(whole) - len(after)]))
-                            if alone_here:
-                                alone[k] = alone.get(k, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(texts_of), pa.int64()), pa.array(list(texts_of.values()), pa.string()), pa.array([alone.get(k, 0) for k in texts_of], pa.int64()), pa.array([list(fillers.get(k, ())) for k in texts_of], pa.list_(pa.int64()))], names=["key", "skel", "n", "fillers"])
-
-    found = texts.select("_domain", "_text").mapInArrow(run, "key long, skel string, n long, fillers array<long>").groupBy("key")
-    rows = found.agg(F.max("skel").alias("skel"), F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("fillers")))).alias("fillers")).collect()
-    return Known(kinds, {r.key: r.skel for r in rows}, {r.key for r in rows if r.n >= ERROR * counts[r.key]}, {r.key for r in rows if r.fillers >= SLOT_FILLERS})
-
-
-#: Ways in which template languages write a variable, and what they print for a missing one.
-PLACEHOLDER = re.compile(
-    r"""\{\{[^{}\n]{1,60}\}\} | \{%[^%\n]{1,60}%\} | <%[^%\n]{1,60}%> | [$\#]\{[^{}\n]{1,60}\} | \$\([A-Za-z_.]{1,40}\) | \[\[[\w.:\ -]{1,60}\]\]
-    | %%\w{1,40}%% | @@\w{1,40}@@ | __[A-Z][A-Z_]*__ | \*\|[\w:]+\|\* | <[A-Z][A-Z\ ]*\ TBD> | \[INSERT\ [A-Z\ ]+\ HERE\]
-    | \[object\ Object\] | \{\d+\}[^{}\n]{1,40}\{\d+\} | \bundefined\ \w+\ of\ undefined\b""",
-    re.X,
-)
-#: Names of a story's variables, by which syntaxes off the list are found, and what is printed for a missing value.
+    @staticmethod
+    def reader(shared) -> Callable[..., dict[int, int]]:
+        """In a worker: the table for one text, given what its further columns hold."""
+        if shared is None:
+            return lambda found=None: {x["key"]: x["kind"] for x in found or ()}
+        table = shared.value
+        return lambda *_: table
+
+
+def copy_of(domain: str, text: str) -> int:
+    return key_of(f"{domain}\n{text}")
+
+
+def looked_up(texts: DataFrame, limit: int = BROADCAST_KEYS) -> Lookup:
+    return Lookup(texts, recurring(texts), lambda t, site: keys_asked(Page(t), site), limit)
+
+
+#: Names of a story's variables, by which the ways of writing a variable are found, and what is printed for a missing value.
 NAMES = set("title headline name byline author date summary caption section body dek story article content category subtitle teaser".split())
 DEFAULTS = set("undefined null none nan nil tbd tba todo untitled placeholder".split())
-#: A frame is a slot if it was seen with so many fillers. A wrapper is a syntax if it holds so many of NAMES, and little else.
-SLOT_FILLERS = 3
-WRAP_NAMES, WRAP_SHARE = 3, 0.8
-#: Words by which the usual filler text is known; the rest of its words are found beside them.
-SEEDS = ("lorem", "ipsum")
-#: Words of error pages and notices, for pages so rare that nothing on them recurs.
-CUES = re.compile(
-    r"javascript|browser|\bscripts?\b|scripting|cookies|\berror|exception|not found|\b(?:40[0-9]|50[0-9])\b|gateway|\bserver|\bsession\b|"
-    r"\bpage\b|\bseite\b|\bpágina\b|\badresse\b|\bdirección\b|\bendereço\b|\blink\b|\baccess\b|\brequests?\b",
-    re.I,
-)
-CUE_WORDS = 30
-FILLER_SHARE, FILLER_LINES, FILLER_WORDS = 0.02, 3, 0.7
+UNFILLED = NAMES | DEFAULTS
+#: What formatting functions leave where a value is missing.
+PRINTED = re.compile(r"\[object Object\]|\{\d+\}[^{}\n]{1,40}\{\d+\}|\bundefined \w+ of undefined\b")
+#: A wrapper is a way of writing a variable if it is seen around so many of NAMES; those of the usual template languages need one.
+WRAP_NAMES = 3
+#: How the usual template languages begin a variable.
+LANGUAGES = ("{{", "{%", "<%=", "<%", "${", "#{")
+#: A filler word stands in this share of the pages with filler lines, and this share of its own pages have such lines.
+FILLER_PAGES, FILLER_OWN, FILLER_WORDS = 0.01, 0.3, 0.7
+#: A filler line stands in this share of the pages that have one, and on this share of its pages in the company of filler.
+FILLER_LINE_PAGES, FILLER_COMPANY = 0.002, 0.3
+#: Rest of an error page: so many words at most.
+REST_WORDS = 30
 
 _words = re.compile(r"[^\W\d_]+").findall
-
-
-_odd = re.compile(r"[{}%$#@*|<>\[\]_~^=\\]|([A-Z])\1(?=[A-Z]{3})")
-_wrapped = re.compile(r"([^\w\s]{1,3}|_{1,3}|([A-Z])\2{1,2}(?=[A-Z])|)([^\W\d_](?:[^\W\d_]|[._:-](?=[^\W\d_]))*?)(_{1,3}|[^\w\s]{1,3}[a-z]?|\2{2,3}|)")
-_prose = "\"“”‘’'.,;:!?»«…"
-_apart = re.compile(r"[^\W\d_]+").findall
+_odd = r"[^\w\s.,;!?:'\"“”‘’«»()–—&/·•≡©→°|-]"
+_wrap = re.compile(
+    rf"(?P<before>(?:{_odd}{{1,3}}[|(]?|(?<!\w)(?:__|(?-i:(?P<twice>[A-Z])(?P=twice))))=?)(?P<inner>\s?(?:[A-Za-z]+[ ._:]){{0,3}}?)(?P<name>{'|'.join(sorted(NAMES, key=len, reverse=True))})"
+    rf"(?P<rest>(?:[ ._:](?!_)[A-Za-z]+){{0,3}}?)(?P<after>\s?(?:\|?{_odd}{{1,3}}|__|(?P=twice){{2}}|\)))",
+    re.I,
+)
+_capitals = re.compile(r"[A-Z]{3,}")
 
 
 def wrapped(text: str) -> set[tuple[str, str, str]]:
-    """(before, after, name) of the words in odd marks or doubled capitals; name is one of NAMES, or ''."""
-    out, done = set(), 0
-    for m in _odd.finditer(text):
-        if m.start() < done:
-            continue
-        start = m.start()
-        while start > done and not text[start - 1].isspace():
-            start -= 1
-        done = m.end()
-        while done < len(text) and not text[done].isspace():
-            done += 1
-        token = text[start:done]
-        w = token.strip(_prose)
-        if len(w) <= 60 and (x := _wrapped.fullmatch(w)) and x[1] and (x[4] or x[1][-1] not in "([{<"):
-            own = [p for p in _apart(x[3].lower()) if p in NAMES]
-            out.add((x[1], x[4], own[-1] if own else ""))
+    """(before, after, name): the marks around the names of NAMES in a text; fixed words in capitals are part of the marks."""
+    out = set()
+    for m in _wrap.finditer(text):
+        before, after = m["before"], m["after"].strip()
+        if m["name"].isupper():
+            before += "".join(f"{w} " for w in _capitals.findall(m["inner"]))
+            after = "".join(f" {w}" for w in _capitals.findall(m["rest"])) + after
+        out.add((before, after, m["name"].lower()))
     return out
 
 
-def syntaxes(texts: DataFrame) -> re.Pattern | None:
-    """The ways of writing a variable that the corpus shows beside PLACEHOLDER: wrappers seen around WRAP_NAMES of NAMES and around little else."""
+def way(before: str, after: str) -> str:
+    """The pattern of a wrapper around one to four words."""
+    edge = lambda s, x: rf"(?<!\w){s}" if x[:1].isalnum() or x[:1] == "_" else s
+    return edge(re.escape(before.rstrip()), before) + r"\s?[A-Za-z]+(?:[ ._:][A-Za-z]+){0,3}?\s?" + re.escape(after.lstrip())
 
-    def run(batches):
-        import pyarrow as pa
 
-        counts: dict[tuple[str, str, str], int] = {}
+class Learned:
+    """What marks left-overs: filler lines by key, filler words, and the ways of writing a variable."""
 
-        def flush():
-            cols = list(zip(*counts)) or [(), (), ()]
-            n = list(counts.values())
-            counts.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(n, pa.int64())], names=["before", "after", "name", "n"])
+    def __init__(self, lines: set[int], words: set[str], ways: re.Pattern | None):
+        self.lines, self.words, self.ways = lines, words, ways
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                for x in wrapped(t):
-                    counts[x] = counts.get(x, 0) + 1
-                if len(counts) > 50_000:
-                    yield flush()
-        yield flush()
 
-    rows = texts.select("_text").mapInArrow(run, "before string, after string, name string, n long").groupBy("before", "after")
-    named = F.sum(F.when(F.col("name") != "", F.col("n")).otherwise(0))
-    found = rows.agg(F.count_distinct(F.nullif("name", F.lit(""))).alias("names"), (named / F.sum("n")).alias("share")).where((F.col("names") >= WRAP_NAMES) & (F.col("share") >= WRAP_SHARE)).collect()
-    ways = sorted(rf"{re.escape(r.before)}(?:\w+[.:-])*\w+?{re.escape(r.after)}" for r in found)
-    return re.compile(rf"(?<!\w)(?:{'|'.join(ways)})(?!\w)") if ways else None
+def learned(texts: DataFrame, look: Lookup) -> Learned:
+    """Filler, and the wrappers seen around WRAP_NAMES of NAMES.
 
+    There are at most (lines per page) / FILLER_LINE_PAGES filler lines and (words per page) / FILLER_PAGES filler words,
+    whatever the corpus.
+    """
+    shared = look.shared
 
-def filler_words(texts: DataFrame) -> set[str]:
-    """Words in at least FILLER_SHARE of the lines that hold a seed word, so at most (words per line) / FILLER_SHARE of them."""
+    def near(batches):
+        import pyarrow as pa
 
-    def run(batches):
+        kinds_of = Lookup.reader(shared)
+        counts: dict[str, list[int]] = {"": [0, 0]}
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                kinds, site = kinds_of(*row[2:]), site_name(row[0])
+                lines = Page(row[1]).lines
+                own = {k for x in lines if len(x) <= 200 and x.rstrip()[-1:] in ".!?" and kinds.get(k := key_of(skeleton(x, site))) == FILLER}
+                if own:
+                    company = len(own) > 1 or not any(len(x) >= STORY_CHARS and closed(x) for x in lines)
+                    for w in {"", *_words(row[1].lower()), *map(str, own)}:
+                        n = counts.setdefault(w, [0, 0])
+                        n[0] += 1
+                        n[1] += company
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([n[i] for n in counts.values()], pa.int64()) for i in (0, 1))], names=["word", "n", "company"])
+
+    beside = look.texts.select(*look.columns).mapInArrow(near, "word string, n long, company long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("company").alias("company"))
+    beside = checkpointed(beside)
+    pages = beside.where("word = ''").agg(F.sum("n")).first()[0] or 0
+    is_key = F.col("word").rlike("^-?[0-9]+$")
+    lines = {int(r.word) for r in beside.where(is_key & (F.col("company") >= FILLER_COMPANY * F.col("n")) & (F.col("n") >= FILLER_LINE_PAGES * pages)).collect()}
+    likely = {r.word: r.n for r in beside.where(~is_key & (F.col("word") != "") & (F.col("n") >= max(2, FILLER_PAGES * pages))).collect()} if pages else {}
+    asked = texts.sparkSession.sparkContext.broadcast(frozenset(likely))
+
+    def everywhere(batches):
         import pyarrow as pa
 
-        counts: dict[str, int] = {"": 0}
+        words = asked.value
+        counts: dict[tuple[str, str, str], int] = {}
         for b in batches:
             for t in b.column(0).to_pylist():
-                low = t.lower()
-                if any(s in low for s in SEEDS):
-                    for line in low.split("\n"):
-                        own = set(_words(line))
-                        if own.intersection(SEEDS):
-                            counts[""] += 1
-                            for w in own:
-                                counts[w] = counts.get(w, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-    counts = texts.select("_text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0
-    return {r.word for r in counts.where((F.col("word") != "") & (F.col("n") >= max(FILLER_LINES, FILLER_SHARE * total))).collect()}
-
-
-def is_filler(line: str, skel: str, known: Known, words: set[str]) -> bool:
-    if skel and known.kinds.get(key_of(skel)) == FILLER:
+                if words:
+                    for w in words.intersection(_words(t.lower())):
+                        counts["", w, ""] = counts.get(("", w, ""), 0) + 1
+                for x in wrapped(t):
+                    counts[x] = counts.get(x, 0) + 1
+        cols = [*zip(*counts)] or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(list(counts.values()), pa.int64())], names=["before", "after", "name", "n"])
+
+    totals = texts.select("_text").mapInArrow(everywhere, "before string, after string, name string, n long").groupBy("before", "after")
+    rows = totals.agg(F.sum("n").alias("n"), F.count_distinct("name").alias("names")).where((F.col("before") == "") | (F.col("names") >= WRAP_NAMES) | F.col("before").isin(*LANGUAGES)).collect()
+    words = {r.after for r in rows if not r.before and likely.get(r.after, 0) >= FILLER_OWN * r.n}
+    ways = sorted(way(r.before, r.after) for r in rows if r.before)
+    return Learned(lines, words, re.compile("|".join(ways)) if ways else None)
+
+
+def is_filler(line: str, skel: str, known: Learned) -> bool:
+    if known.lines and skel and len(line) <= 200 and key_of(skel) in known.lines:
         return True
-    own = _words(line.lower()) if words else []
-    return len(own) >= 5 and sum(w in words for w in own) >= FILLER_WORDS * len(own)
+    own = _words(line.lower()) if known.words else []
+    return len(own) >= 5 and sum(w in known.words for w in own) >= FILLER_WORDS * len(own)
 
 
 def without(patterns: list[re.Pattern], line: str) -> str:
@@ -461,47 +549,58 @@ def without(patterns: list[re.Pattern], line: str) -> str:
     return line
 
 
-def leftovers(text: str, site: str, known: Known, words: set[str], ways: re.Pattern | None = None) -> tuple[bool, bool, list[str]]:
-    """(holds left-overs of a template, is nothing but a left-over, labels of its lines)."""
-    lines, found = lines_of(text), labelled(text, site, known)
-    filler = error = False
-    written = [p for p in (PLACEHOLDER, ways) if p is not None and p.search(text)]
-    marks = bool(written)
+def leftovers(page: Page, text: str, site: str, kinds: dict[int, int], known: Learned) -> tuple[str, bool, list[str]]:
+    """(what left-over of a template the text holds, whether it is nothing else, labels of its lines). Left-overs are 'variable',
+    'slot', 'filler', 'error' or ''."""
+    found = labelled(page, site, kinds)
+    filler = False
+    visible = text if page.sources is None else "\n".join(page.lines)
+    written = [p for p in (PRINTED, known.ways) if p is not None and p.search(visible)]
+    slot = False
     rest: list[str] = []
-    for line, (label, skel) in zip(lines, found):
-        marks = marks or bool(known.slots and skel and known.unfilled(bare(line)))
-        if label == "story":
-            if is_filler(line, skel, known, words):
+    for line, (label, skel) in zip(page.lines, found):
+        if not slot and skel and len(line) <= 100 and not closed(line):
+            slot = any(kinds.get(k) == SLOT for k in slots_of(bare(line)))
+        if label == "story" and skel:
+            if is_filler(line, skel, known):
                 filler = True
-            elif (skel or len(line) > LINE) and (not written or without(written, line).strip()):
+            elif not written or without(written, line).strip():
                 rest.append(line)
-        elif label in ("furniture", "teaser") and known.errors:
-            error = error or key_of(skel) in known.errors or label == "teaser" and any(k in known.errors for k, _ in keys_of(bare(line), site))
-    short = sum(len(x.split()) for x in rest) <= CUE_WORDS
-    whole = (filler or error) and not rest or bool(rest) and short and any(map(CUES.search, rest)) and all(CUES.search(x) or len(x.split()) <= 3 for x in rest) or error and short and not any(closed(x) and not CUES.search(x) for x in rest)
-    return whole or filler or marks, whole, [x[0] for x in found]
+    error = any(x == "error" for x, _ in found)
+    short = sum(len(x.split()) for x in rest) <= REST_WORDS
+    whole = (filler or error) and not rest or error and short and not any(map(closed, rest))
+    error = error and whole
+    return "variable" if written else "slot" if slot else "filler" if filler else "error" if error else "", whole, [x[0] for x in found]
+
 
+def judged(df: DataFrame, key: str = "result_id", text: str = "fetched_text", domain: Column | None = None, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """(key, leftover, whole, furniture array<int>, reasons array<string>, body): a row for each non-empty text.
 
-def judged(df: DataFrame, key: str = "result_id", text: str = "fetched_text", domain: Column | None = None) -> DataFrame:
-    """(key, leftover, whole, furniture array<int>, body): a row for each non-empty text. body is its main body, '' for error pages and filler."""
+    leftover names what is left of a template, '' for nothing. furniture are the lines beside the main body, numbered as in the
+    given text also where it is marked up, with the reason of each. body is the main body, '' for error pages and filler.
+    """
     texts = scan(df, key, text, domain)
-    shared = texts.sparkSession.sparkContext.broadcast((learned(texts), filler_words(texts), syntaxes(texts)))
+    look = looked_up(texts, limit)
+    shared, known = look.shared, texts.sparkSession.sparkContext.broadcast(learned(texts, look))
     kind = df.schema[key].dataType.simpleString()
 
     def make():
-        known, words, ways = shared.value
+        kinds_of, found_out = Lookup.reader(shared), known.value
 
-        def batch(keys, domains, values):
-            left, wholes, numbers, bodies = [], [], [], []
-            for d, t in zip(domains, values):
-                t = rendered(t)
-                a, whole, found = leftovers(t, site_name(d), known, words, ways)
+        def batch(keys, domains, values, *further):
+            left, wholes, numbers, reasons, bodies = [], [], [], [], []
+            for i, (d, t) in enumerate(zip(domains, values)):
+                page = Page(t)
+                a, whole, found = leftovers(page, t, site_name(d), kinds_of(*(c[i] for c in further)), found_out)
                 left.append(a)
                 wholes.append(whole)
-                numbers.append([] if whole else [i for i, x in enumerate(found) if x not in ("", "story")])
-                bodies.append("" if whole else re.sub(r"\n{3,}", "\n\n", "\n".join(x for x, y in zip(lines_of(t), found) if y in ("", "story"))).strip())
-            return keys, left, wholes, numbers, bodies
+                gone = [] if whole else [j for j, x in enumerate(found) if x not in ("", "story")]
+                own = page.numbers(t, gone)
+                numbers.append([] if whole else own)
+                reasons.append([] if whole else [found[j] for j in gone] if page.sources is None else ["beside"] * len(own))
+                bodies.append("" if whole else re.sub(r"\n{3,}", "\n\n", "\n".join(x for x, y in zip(page.lines, found) if y in ("", "story"))).strip())
+            return keys, left, wholes, numbers, reasons, bodies
 
         return batch
 
-    return map_rows(texts, [key, "_domain", "_text"], make, f"{key} {kind}, leftover boolean, whole boolean, furniture array<int>, body string")
+    return map_rows(look.texts, [key, *look.columns], make, f"{key} {kind}, leftover string, whole boolean, furniture array<int>, reasons array<string>, body string")

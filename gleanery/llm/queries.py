@@ -79,6 +79,13 @@ def p5_found(spark, d):
     return layout.judged(table(spark, d, "scrape_results")).select("result_id", F.explode("furniture").alias("line_no"))
 
 
+@query("p5_reasons")
+def p5_reasons(spark, d):
+    """The lines of p5_found with what each is: menu, furniture, teaser, head or item of a side list, error, or beside the body by its markup."""
+    both = F.explode(F.arrays_zip("furniture", "reasons")).alias("x")
+    return layout.judged(table(spark, d, "scrape_results")).select("result_id", both).select("result_id", F.col("x.furniture").alias("line_no"), F.col("x.reasons").alias("reason"))
+
+
 @query("p5_body")
 def p5_body(spark, d):
     return layout.judged(table(spark, d, "scrape_results")).select("result_id", "body")
@@ -86,7 +93,13 @@ def p5_body(spark, d):
 
 @query("p6_found")
 def p6_found(spark, d):
-    return layout.judged(table(spark, d, "scrape_results")).where("leftover").select("result_id")
+    return layout.judged(table(spark, d, "scrape_results")).where("leftover != ''").select("result_id")
+
+
+@query("p6_reasons")
+def p6_reasons(spark, d):
+    """The rows of p6_found with what is left of a template: an unfilled variable or slot, filler, or an error page."""
+    return layout.judged(table(spark, d, "scrape_results")).where("leftover != ''").select("result_id", F.col("leftover").alias("reason"), "whole")
 
 
 @query("p6_clean")

@@ -6,17 +6,21 @@ STORY = "The {0} council of {1} met for a long time and spoke about the old brid
 WORDS = ["river", "harbour", "forest", "castle", "garden", "market", "school", "station", "tower", "valley", "meadow", "quarry"]
 
 
+def tag(i):
+    return "".join("abcdefghij"[int(x)] for x in str(i)) + "x"
+
+
 def corpus():
     rows = []
     for i in range(48):
         a, b, c = WORDS[i % 12], WORDS[(i * 5 + 1) % 12], WORDS[(i * 7 + 2) % 12]
         site = "northgazette" if i % 2 else "southgazette"
         story = [STORY.format(a, b, c), f"Nobody in {b} had seen the {c} in such a state since the {a} was built, said mayor number {i}."]
-        body = f"Home | World | Sport | Weather\nNumber {i} of the {a} {b}\n\n{story[0]}\n\nA look back\n\n{story[1]}\nTop stories\nThe {b} won the {a} prize\nThe {c} lost the {b} game\nAll rights rest with {site[:5].title()} Gazette."
+        body = f"Home | World | Sport | Weather\nNumber {tag(i)} of the {a} {b}\n\n{story[0]}\n\nA look back\n\n{story[1]}\nTop stories\nThe {b} won the {a} prize\nThe {c} lost the {b} game\nAll rights rest with {site[:5].title()} Gazette."
         rows.append((i, f"{site}.example", body))
     rows += [(100 + i, f"{s}gazette.example", f"Page number {i} not found\nAll rights rest with {s.title()} Gazette.") for i, s in enumerate(["north", "south"] * 5)]
-    rows += [(200 + i, "northgazette.example", f"Heading {WORDS[i]} of {WORDS[i + 1]}\n\n{STORY.format(WORDS[i], 'place', i)}\n\n" + "Your filler sentence stands here.\n\n" + STORY.format("second", WORDS[i], "blue") + f" Again {i}.") for i in range(8)]
-    rows += [(220 + i, "southgazette.example", f"Heading {WORDS[i]} on {WORDS[i + 1]}\n\n{STORY.format(WORDS[i], 'spot', i)}\n\n" + "Your filler sentence stands here.\n\n" + STORY.format("third", WORDS[i], "red") + f" More {i}.") for i in range(8)]
+    rows += [(200 + i, "northgazette.example", f"Heading {WORDS[i]} of {WORDS[i + 1]}\n\n{STORY.format(WORDS[i], 'place', i)}\n\n" + "Your filler sentence stands here.\n\n" + "Replace this by a text of your own.\n\n" * (i % 2) + STORY.format("second", WORDS[i], "blue") + f" Again {i}.") for i in range(8)]
+    rows += [(220 + i, "southgazette.example", f"Heading {WORDS[i]} on {WORDS[i + 1]}\n\n{STORY.format(WORDS[i], 'spot', i)}\n\n" + "Your filler sentence stands here.\n\n" + "Replace this by a text of your own.\n\n" * (i % 2) + STORY.format("third", WORDS[i], "red") + f" More {i}.") for i in range(8)]
     return rows
 
 
@@ -44,8 +48,31 @@ def test_empty_table(spark):
 
 
 def test_shapes():
-    assert L.shape("Home | World | Sport", False) == "menu" and L.shape("Lindow, Tuesday", False) == "date" and L.shape("Lindow 3° / 9°", False) == "date"
-    assert L.shape("Ann Lee, 5 hours ago: I saw it.", True) == "comment" and L.shape("A headline, with a comma", False) == ""
+    assert len(L.cells("Home | World | Sport")) == 3 and L.shaped("Lindow 3° / 9°") == "N 0° / 0°" and L.shaped("Ann Lee, 5 hours ago") == "N, 0 hours ago"
+
+
+def test_the_join_gives_the_same_rows_as_the_broadcast(spark):
+    df = spark.createDataFrame(corpus(), "result_id long, d string, fetched_text string")
+    one, other = (sorted(map(str, L.judged(df, domain=F.col("d"), limit=n).collect())) for n in (L.BROADCAST_KEYS, 0))
+    assert one == other
+
+
+def test_foreign_sites_change_nothing(spark):
+    foreign = [(1000 + i, f"site{i % 90}post.example", f"Number {tag(i)}\n\n{STORY.format(tag(i), 'another', 'stone')} Chapter {i} of it tells it in full, they said.\nMenu of site {tag(i % 90)} alone") for i in range(360)]
+    small, large = judged(spark, corpus()), judged(spark, corpus() + foreign)
+    assert all(large[i].furniture == r.furniture and large[i].leftover == r.leftover for i, r in small.items())
+
+
+def test_lines_of_marked_up_texts_are_source_lines(spark):
+    page = "<html><body>\n<nav><a>Home</a>\n<a>World</a></nav>\n<p>The council met for\na long time about the bridge.</p>\n<footer>Imprint</footer>\n</body></html>"
+    out = judged(spark, [(1, "a.example", page)])
+    assert out[1].furniture == [0, 1, 2, 5, 6] and set(out[1].reasons) == {"beside"} and out[1].body == "The council met for a long time about the bridge."
+
+
+def test_long_lines_can_be_furniture(spark):
+    notice = "This site and its partners keep small files on your device " + "and so on " * 30 + "."
+    rows = [(i, "northgazette.example", f"{notice}\nHeading {WORDS[i % 12]}\n\n{STORY.format(WORDS[i % 12], i, 'x')} Part {i} of it.") for i in range(12)]
+    assert all(r.furniture == [0] for r in judged(spark, rows).values())
 
 
 def test_syntaxes_off_the_list_are_learned(spark):
@@ -61,4 +88,4 @@ def test_slots_of_aligned_lines(spark):
     rows = [(i, "northgazette.example", f"{STORY.format(WORDS[i % 12], WORDS[i % 7], i)} And number {i} of them went home again.\n\n{line.format(names[i % 6])}") for i in range(30)]
     rows += [(100 + i, "northgazette.example", f"{STORY.format('last', WORDS[i], 'old')} And so on.\n\n{line.format(x)}") for i, x in enumerate(["", "Name", "undefined", "Gus Ives"])]
     out = judged(spark, rows)
-    assert [out[100 + i].leftover for i in range(4)] == [True, True, True, False] and not any(out[i].leftover for i in range(30))
+    assert [out[100 + i].leftover for i in range(4)] == ["slot", "slot", "slot", ""] and not any(out[i].leftover for i in range(30))
