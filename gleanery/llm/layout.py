@@ -154,6 +154,10 @@ def frame(s: str) -> tuple[str, str] | None:
 
 def keys_of(s: str, site: str, ends: bool) -> list[tuple[int, str]]:
     """(key, text) of all by which a bare line may recur besides its skeleton."""
+    return _keys_cached(s, site, ends) if len(s) < 100 else _keys_of(s, site, ends)
+
+
+def _keys_of(s: str, site: str, ends: bool) -> list[tuple[int, str]]:
     out = []
     at = s.find(": ", 0, 160)
     if at > 0 and _digit(s, 0, at) and s.count(" ", 0, at) < 9:
@@ -168,6 +172,9 @@ def keys_of(s: str, site: str, ends: bool) -> list[tuple[int, str]]:
     return [(key_of(x), x) for x in out]
 
 
+_keys_cached = lru_cache(30_000)(_keys_of)
+
+
 @lru_cache(30_000)
 def slots_of(s: str) -> list[int]:
     """Keys of the frames that a bare line would fill with nothing, a variable's name or a default."""
@@ -433,7 +440,7 @@ NAMES = set("title headline name byline author date summary caption section body
 DEFAULTS = set("undefined null none nan nil tbd tba todo untitled placeholder".split())
 UNFILLED = NAMES | DEFAULTS
 #: What formatting functions leave where a value is missing.
-PRINTED = re.compile(r"\[object Object\]|\{\d+\}[^{}\n]{1,40}\{\d+\}|\bundefined \w+ of undefined\b")
+PRINTED = [("[object Object]", re.compile(r"\[object Object\]")), ("{", re.compile(r"\{\d+\}[^{}\n]{1,40}\{\d+\}")), ("undefined", re.compile(r"\bundefined \w+ of undefined\b"))]
 #: A wrapper is a way of writing a variable if it is seen around so many of NAMES; those of the usual template languages need one.
 WRAP_NAMES = 3
 #: How the usual template languages begin a variable.
@@ -446,7 +453,9 @@ FILLER_LINE_PAGES, FILLER_COMPANY = 0.002, 0.3
 REST_WORDS = 30
 
 _words = re.compile(r"[^\W\d_]+").findall
-_odd = r"[^\w\s.,;!?:'\"“”‘’«»()–—&/·•≡©→°|-]"
+_marks = "{[<$#%@*~^=`+_}"
+_twice = re.compile(r"(?<![^\W_])([A-Z])\1[A-Za-z]").search
+_odd = r"[{}\[\]<>$#%@*~^=`+|]"
 _wrap = re.compile(
     rf"(?P<before>(?:{_odd}{{1,3}}[|(]?|(?<!\w)(?:__|(?-i:(?P<twice>[A-Z])(?P=twice))))=?)(?P<inner>\s?(?:[A-Za-z]+[ ._:]){{0,3}}?)(?P<name>{'|'.join(sorted(NAMES, key=len, reverse=True))})"
     rf"(?P<rest>(?:[ ._:](?!_)[A-Za-z]+){{0,3}}?)(?P<after>\s?(?:\|?{_odd}{{1,3}}|__|(?P=twice){{2}}|\)))",
@@ -458,6 +467,8 @@ _capitals = re.compile(r"[A-Z]{3,}")
 def wrapped(text: str) -> set[tuple[str, str, str]]:
     """(before, after, name): the marks around the names of NAMES in a text; fixed words in capitals are part of the marks."""
     out = set()
+    if not any(c in text for c in _marks) and not _twice(text):
+        return out
     for m in _wrap.finditer(text):
         before, after = m["before"], m["after"].strip()
         if m["name"].isupper():
@@ -474,10 +485,16 @@ def way(before: str, after: str) -> str:
 
 
 class Learned:
-    """What marks left-overs: filler lines by key, filler words, and the ways of writing a variable."""
+    """What marks left-overs: filler lines by key, filler words, and the ways of writing a variable, each with its first letters."""
+
+    def __init__(self, lines: set[int], words: set[str], ways: list[tuple[str, re.Pattern]]):
+        self.lines, self.words, self.ways = lines, words, [*PRINTED, *ways]
 
-    def __init__(self, lines: set[int], words: set[str], ways: re.Pattern | None):
-        self.lines, self.words, self.ways = lines, words, ways
+    def written(self, text: str) -> list[re.Pattern]:
+        """The patterns of variables that a text holds."""
+        if not any(c in text for c in _marks) and "undefined" not in text and not _twice(text):
+            return []
+        return [p for start, p in self.ways if start in text and p.search(text)]
 
 
 def learned(texts: DataFrame, look: Lookup) -> Learned:
@@ -500,7 +517,7 @@ def learned(texts: DataFrame, look: Lookup) -> Learned:
                 own = {k for x in lines if len(x) <= 200 and x.rstrip()[-1:] in ".!?" and kinds.get(k := key_of(skeleton(x, site))) == FILLER}
                 if own:
                     company = len(own) > 1 or not any(len(x) >= STORY_CHARS and closed(x) for x in lines)
-                    for w in {"", *_words(row[1].lower()), *map(str, own)}:
+                    for w in {"", *(w for w in row[1].lower().split() if w.isalpha()), *map(str, own)}:
                         n = counts.setdefault(w, [0, 0])
                         n[0] += 1
                         n[1] += company
@@ -522,7 +539,7 @@ def learned(texts: DataFrame, look: Lookup) -> Learned:
         for b in batches:
             for t in b.column(0).to_pylist():
                 if words:
-                    for w in words.intersection(_words(t.lower())):
+                    for w in words.intersection(t.lower().split()):
                         counts["", w, ""] = counts.get(("", w, ""), 0) + 1
                 for x in wrapped(t):
                     counts[x] = counts.get(x, 0) + 1
@@ -532,14 +549,16 @@ def learned(texts: DataFrame, look: Lookup) -> Learned:
     totals = texts.select("_text").mapInArrow(everywhere, "before string, after string, name string, n long").groupBy("before", "after")
     rows = totals.agg(F.sum("n").alias("n"), F.count_distinct("name").alias("names")).where((F.col("before") == "") | (F.col("names") >= WRAP_NAMES) | F.col("before").isin(*LANGUAGES)).collect()
     words = {r.after for r in rows if not r.before and likely.get(r.after, 0) >= FILLER_OWN * r.n}
-    ways = sorted(way(r.before, r.after) for r in rows if r.before)
-    return Learned(lines, words, re.compile("|".join(ways)) if ways else None)
+    return Learned(lines, words, [(b.rstrip(), re.compile(way(b, a))) for b, a in sorted((r.before, r.after) for r in rows if r.before)])
 
 
 def is_filler(line: str, skel: str, known: Learned) -> bool:
+    """Whether a line is a filler line, or FILLER_WORDS of its words and one of the first five are filler words."""
     if known.lines and skel and len(line) <= 200 and key_of(skel) in known.lines:
         return True
-    own = _words(line.lower()) if known.words else []
+    if not known.words or known.words.isdisjoint(line[:200].lower().split(None, 5)[:5]):
+        return False
+    own = _words(line.lower())
     return len(own) >= 5 and sum(w in known.words for w in own) >= FILLER_WORDS * len(own)
 
 
@@ -555,7 +574,7 @@ def leftovers(page: Page, text: str, site: str, kinds: dict[int, int], known: Le
     found = labelled(page, site, kinds)
     filler = False
     visible = text if page.sources is None else "\n".join(page.lines)
-    written = [p for p in (PRINTED, known.ways) if p is not None and p.search(visible)]
+    written = known.written(visible)
     slot = False
     rest: list[str] = []
     for line, (label, skel) in zip(page.lines, found):
