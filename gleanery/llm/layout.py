@@ -26,6 +26,7 @@ Null and empty texts give no lines. Repeated rows come out as often as they came
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -213,9 +214,12 @@ class Page:
         return [n for n, x in enumerate(lines_of(text)) if n not in kept and letters(x)]
 
 
-def facts(page: Page, site: str, text: str) -> tuple[int, list[tuple]]:
-    """The story's id, and for each line with letters and each of its keys (key, filler's hash, is set apart before running text,
-    heads a list, follows a blank line, is a sentence without the site's name, is a line of a page without a story)."""
+#: What a line is where it stands: set apart before running text, the head of a list, behind a blank line, a sentence without the site's name, on a page without a story.
+FLAGS = ("apart", "heads", "lead", "ends", "storyless")
+
+
+def facts(page: Page, site: str, text: str) -> tuple[int, list[tuple[int, int, int]]]:
+    """The story's id, and for each line with letters and each of its keys (key, filler's hash, FLAGS as bits)."""
     lines = page.lines
     n = len(lines)
     blank = [not x or x.isspace() for x in lines]
@@ -236,17 +240,17 @@ def facts(page: Page, site: str, text: str) -> tuple[int, list[tuple]]:
         heads = i + 2 < n and all(not blank[j] and not ends[j] and lines[j].count(" ") >= 2 for j in (i + 1, i + 2))
         sentence = lead and SITE not in skel and _closed(line.rstrip(), max(0, len(line) - 12)) is not None
         alone = storyless and skel != SITE and not cells(line)
-        out.append((key_of(skel), 0, int(apart), int(heads), int(lead), int(sentence), int(alone)))
+        out.append((key_of(skel), 0, apart | heads << 1 | lead << 2 | sentence << 3 | alone << 4))
         if len(line) <= 200 and not line.startswith("- "):
             s = bare(line)
             for k, x in keys_of(s, site, ends[i]):
                 if "~" not in x:
-                    out.append((k, 0, 0, 0, 0, 0, 0))
+                    out.append((k, 0, 0))
                     continue
                 before, _, after = x.partition("~")
                 whole = letters(s)
                 fill = key_of(whole[len(before) : len(whole) - len(after)])
-                out += [(k, fill, 0, 0, 0, 0, 0), (key_of(f"~~{before}{after}"), fill, 0, 0, 0, 0, 0)]
+                out += [(k, fill, 0), (key_of(f"~~{before}{after}"), fill, 0)]
     longest = max((x for i, x in enumerate(lines) if i and blank[i - 1]), key=len, default="") or max(lines, key=len, default="")
     return key_of(longest if len(longest) > 100 else text), out
 
@@ -319,12 +323,9 @@ def scan(df: DataFrame, key: str, text: str, domain: Column | None) -> DataFrame
     return df.where(F.length(text) > 0).select(F.col(key), F.coalesce(d, F.lit("")).alias("_domain"), F.col(text).alias("_text"))
 
 
-COUNTED = ("apart", "heads", "lead", "ends", "storyless")
-
-
 def recurring(texts: DataFrame) -> DataFrame:
-    """(key, kind): the recurring keys of the corpus, checkpointed."""
-    names = ["key", "site", "story", "low", "high", "n", *COUNTED]
+    """(key, kind): the recurring keys of the corpus, checkpointed. A story counts once for a key, whatever copies it has."""
+    names = ["key", "site", "story", "low", "high", "flags"]
 
     def run(batches):
         import pyarrow as pa
@@ -333,42 +334,39 @@ def recurring(texts: DataFrame) -> DataFrame:
 
         def flush():
             cols = [*zip(*seen)] or [(), (), ()]
-            cols += [[v[i] for v in seen.values()] for i in range(len(names) - 3)]
+            cols += [[v[i] for v in seen.values()] for i in range(3)]
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for d, t in dict.fromkeys(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 story, rows = facts(Page(t), site_name(d), t)
                 site = key_of(d)
-                for k, fill, apart, heads, lead, ends, storyless in rows:
+                for k, fill, flags in rows:
                     v = seen.get((k, site, story))
                     if v is None:
-                        seen[k, site, story] = [fill, fill, 1, apart, heads, lead, ends, storyless]
+                        seen[k, site, story] = [fill, fill, flags]
                     else:
                         if fill < v[0]:
                             v[0] = fill
                         if fill > v[1]:
                             v[1] = fill
-                        v[2] += 1
-                        v[3] += apart
-                        v[4] += heads
-                        v[5] += lead
-                        v[6] += ends
-                        v[7] += storyless
+                        v[2] |= flags
                 if len(seen) > 200_000:
                     yield flush()
         yield flush()
 
     rows = texts.select("_domain", "_text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
-    sums = [F.min("low").alias("low"), F.max("high").alias("high"), *(F.sum(c).alias(c) for c in ("n", *COUNTED))]
-    by_site = rows.groupBy("key", "site", "story").agg(*sums).groupBy("key", "site").agg(F.count("*").alias("stories"), *sums)
+    ends = [F.min("low").alias("low"), F.max("high").alias("high")]
+    by_story = rows.groupBy("key", "site", "story").agg(*ends, F.bit_or("flags").alias("flags"))
+    counted = [F.sum(F.shiftright("flags", i).bitwiseAND(1)).alias(c) for i, c in enumerate(FLAGS)]
+    by_site = by_story.groupBy("key", "site").agg(F.count("*").alias("stories"), *ends, *counted)
     totals = site_stories(texts)
     totals = F.broadcast(totals) if broadcastable(totals, BROADCAST_KEYS) else totals
     reached = lambda least: (F.col("stories") >= SITE_STORIES) & (F.col("stories") >= least * F.coalesce("total", F.lit(0)))
     here = F.max(reached(SITE_SHARE)) | (F.count_if(reached(SITE_SHARE / 2)) >= 2)
-    by_key = by_site.join(totals, "site", "left").groupBy("key").agg(here.alias("here"), F.count("*").alias("sites"), F.sum("stories").alias("stories"), *sums)
-    share = lambda c: F.col(c) / F.col("n")
+    by_key = by_site.join(totals, "site", "left").groupBy("key").agg(here.alias("here"), F.count("*").alias("sites"), F.sum("stories").alias("stories"), *ends, *(F.sum(c).alias(c) for c in FLAGS))
+    share = lambda c: F.col(c) / F.col("stories")
     spread = F.col("sites") >= SITES
     story = (share("apart") > APART) | (share("lead") > LEAD)
     kind = (
@@ -511,16 +509,20 @@ def learned(texts: DataFrame, look: Lookup) -> Learned:
         kinds_of = Lookup.reader(shared)
         counts: dict[str, list[int]] = {"": [0, 0]}
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                kinds, site = kinds_of(*row[2:]), site_name(row[0])
-                lines = Page(row[1]).lines
+            rows = [c.to_pylist() for c in b.columns]
+            times: dict[tuple[str, str], list[int]] = {}
+            for i, x in enumerate(zip(rows[0], rows[1])):
+                times.setdefault(x, [i, 0])[1] += 1
+            for (d, t), (i, weight) in times.items():
+                kinds, site = kinds_of(*(c[i] for c in rows[2:])), site_name(d)
+                lines = Page(t).lines
                 own = {k for x in lines if len(x) <= 200 and x.rstrip()[-1:] in ".!?" and kinds.get(k := key_of(skeleton(x, site))) == FILLER}
                 if own:
                     company = len(own) > 1 or not any(len(x) >= STORY_CHARS and closed(x) for x in lines)
-                    for w in {"", *(w for w in row[1].lower().split() if w.isalpha()), *map(str, own)}:
+                    for w in {"", *(w for w in t.lower().split() if w.isalpha()), *map(str, own)}:
                         n = counts.setdefault(w, [0, 0])
-                        n[0] += 1
-                        n[1] += company
+                        n[0] += weight
+                        n[1] += weight * company
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([n[i] for n in counts.values()], pa.int64()) for i in (0, 1))], names=["word", "n", "company"])
 
     beside = look.texts.select(*look.columns).mapInArrow(near, "word string, n long, company long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("company").alias("company"))
@@ -537,12 +539,12 @@ def learned(texts: DataFrame, look: Lookup) -> Learned:
         words = asked.value
         counts: dict[tuple[str, str, str], int] = {}
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t, weight in Counter(b.column(0).to_pylist()).items():
                 if words:
                     for w in words.intersection(t.lower().split()):
-                        counts["", w, ""] = counts.get(("", w, ""), 0) + 1
+                        counts["", w, ""] = counts.get(("", w, ""), 0) + weight
                 for x in wrapped(t):
-                    counts[x] = counts.get(x, 0) + 1
+                    counts[x] = counts.get(x, 0) + weight
         cols = [*zip(*counts)] or [(), (), ()]
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(list(counts.values()), pa.int64())], names=["before", "after", "name", "n"])
 
@@ -607,17 +609,17 @@ def judged(df: DataFrame, key: str = "result_id", text: str = "fetched_text", do
         kinds_of, found_out = Lookup.reader(shared), known.value
 
         def batch(keys, domains, values, *further):
-            left, wholes, numbers, reasons, bodies = [], [], [], [], []
+            done: dict[tuple[str, str], tuple] = {}
             for i, (d, t) in enumerate(zip(domains, values)):
+                if (d, t) in done:
+                    continue
                 page = Page(t)
                 a, whole, found = leftovers(page, t, site_name(d), kinds_of(*(c[i] for c in further)), found_out)
-                left.append(a)
-                wholes.append(whole)
                 gone = [] if whole else [j for j, x in enumerate(found) if x not in ("", "story")]
-                own = page.numbers(t, gone)
-                numbers.append([] if whole else own)
-                reasons.append([] if whole else [found[j] for j in gone] if page.sources is None else ["beside"] * len(own))
-                bodies.append("" if whole else re.sub(r"\n{3,}", "\n\n", "\n".join(x for x, y in zip(page.lines, found) if y in ("", "story"))).strip())
+                own = [] if whole else page.numbers(t, gone)
+                body = "" if whole else re.sub(r"\n{3,}", "\n\n", "\n".join(x for x, y in zip(page.lines, found) if y in ("", "story"))).strip()
+                done[d, t] = a, whole, own, [found[j] for j in gone] if page.sources is None else ["beside"] * len(own), body
+            left, wholes, numbers, reasons, bodies = zip(*(done[x] for x in zip(domains, values)))
             return keys, left, wholes, numbers, reasons, bodies
 
         return batch
