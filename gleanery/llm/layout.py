@@ -46,6 +46,8 @@ SITES, ERROR_STORIES, FILLER_STORIES = 2, 3, 6
 APART, LEAD, LISTHEAD, ERROR, FILLER_LEAD = 0.3, 0.8, 0.85, 0.7, 0.6
 #: A page has a story if it has a sentence of so many characters.
 STORY_CHARS = 100
+#: A line of more characters recurs by its skeleton only.
+SHORT = 200
 #: Recurring keys of up to so many rows are broadcast, about 100 bytes each in a worker.
 BROADCAST_KEYS = 200_000
 SITE = "∎"
@@ -218,8 +220,9 @@ class Page:
 FLAGS = ("apart", "heads", "lead", "ends", "storyless")
 
 
-def facts(page: Page, site: str, text: str) -> tuple[int, list[tuple[int, int, int]]]:
-    """The story's id, and for each line with letters and each of its keys (key, filler's hash, FLAGS as bits)."""
+def facts(page: Page, site: str, text: str, light: bool = False) -> tuple[int, list[tuple[int, int, int]]]:
+    """The story's id, and for each line with letters and each of its keys (key, filler's hash, FLAGS as bits); with ``light``
+    only for lines of up to SHORT characters and without frames."""
     lines = page.lines
     n = len(lines)
     blank = [not x or x.isspace() for x in lines]
@@ -228,7 +231,7 @@ def facts(page: Page, site: str, text: str) -> tuple[int, list[tuple[int, int, i
     out = []
     for i in range(n):
         line = lines[i]
-        if blank[i] or not (skel := skeleton(line, site)):
+        if blank[i] or light and len(line) > SHORT or not (skel := skeleton(line, site)):
             continue
         lead = i > 0 and blank[i - 1]
         apart = False
@@ -241,12 +244,14 @@ def facts(page: Page, site: str, text: str) -> tuple[int, list[tuple[int, int, i
         sentence = lead and SITE not in skel and _closed(line.rstrip(), max(0, len(line) - 12)) is not None
         alone = storyless and skel != SITE and not cells(line)
         out.append((key_of(skel), 0, apart | heads << 1 | lead << 2 | sentence << 3 | alone << 4))
-        if len(line) <= 200 and not line.startswith("- "):
+        if len(line) <= SHORT and not line.startswith("- "):
             s = bare(line)
             for k, x in keys_of(s, site, ends[i]):
                 if "~" not in x:
                     out.append((k, 0, 0))
                     continue
+                if light:
+                    continue
                 before, _, after = x.partition("~")
                 whole = letters(s)
                 fill = key_of(whole[len(before) : len(whole) - len(after)])
@@ -288,7 +293,7 @@ def labelled(page: Page, site: str, kinds: dict[int, int]) -> list[tuple[str, st
             label = "story"
         elif not ends and len(c := cells(s)) >= 2 and (len(c) > 2 or all(kinds.get(key_of(skeleton(p, site))) == FURNITURE for p in c)):
             label = "menu"
-        elif len(line) <= 200 and any(kinds.get(k) in (FURNITURE, SLOT) for k, _ in keys_of(s, site, ends)):
+        elif len(line) <= SHORT and any(kinds.get(k) in (FURNITURE, SLOT) for k, _ in keys_of(s, site, ends)):
             label = "teaser"
         elif ends:
             label = "story"
@@ -323,7 +328,7 @@ def scan(df: DataFrame, key: str, text: str, domain: Column | None) -> DataFrame
     return df.where(F.length(text) > 0).select(F.col(key), F.coalesce(d, F.lit("")).alias("_domain"), F.col(text).alias("_text"))
 
 
-def recurring(texts: DataFrame) -> DataFrame:
+def recurring(texts: DataFrame, light: bool = False) -> DataFrame:
     """(key, kind): the recurring keys of the corpus, checkpointed. A story counts once for a key, whatever copies it has."""
     names = ["key", "site", "story", "low", "high", "flags"]
 
@@ -340,7 +345,7 @@ def recurring(texts: DataFrame) -> DataFrame:
 
         for b in batches:
             for d, t in dict.fromkeys(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                story, rows = facts(Page(t), site_name(d), t)
+                story, rows = facts(Page(t), site_name(d), t, light)
                 site = key_of(d)
                 for k, fill, flags in rows:
                     v = seen.get((k, site, story))
@@ -429,8 +434,8 @@ def copy_of(domain: str, text: str) -> int:
     return key_of(f"{domain}\n{text}")
 
 
-def looked_up(texts: DataFrame, limit: int = BROADCAST_KEYS) -> Lookup:
-    return Lookup(texts, recurring(texts), lambda t, site: keys_asked(Page(t), site), limit)
+def looked_up(texts: DataFrame, limit: int = BROADCAST_KEYS, light: bool = False) -> Lookup:
+    return Lookup(texts, recurring(texts, light), lambda t, site: keys_asked(Page(t), site), limit)
 
 
 #: Names of a story's variables, by which the ways of writing a variable are found, and what is printed for a missing value.
@@ -516,7 +521,7 @@ def learned(texts: DataFrame, look: Lookup) -> Learned:
             for (d, t), (i, weight) in times.items():
                 kinds, site = kinds_of(*(c[i] for c in rows[2:])), site_name(d)
                 lines = Page(t).lines
-                own = {k for x in lines if len(x) <= 200 and x.rstrip()[-1:] in ".!?" and kinds.get(k := key_of(skeleton(x, site))) == FILLER}
+                own = {k for x in lines if len(x) <= SHORT and x.rstrip()[-1:] in ".!?" and kinds.get(k := key_of(skeleton(x, site))) == FILLER}
                 if own:
                     company = len(own) > 1 or not any(len(x) >= STORY_CHARS and closed(x) for x in lines)
                     for w in {"", *(w for w in t.lower().split() if w.isalpha()), *map(str, own)}:
@@ -556,7 +561,7 @@ def learned(texts: DataFrame, look: Lookup) -> Learned:
 
 def is_filler(line: str, skel: str, known: Learned) -> bool:
     """Whether a line is a filler line, or FILLER_WORDS of its words and one of the first five are filler words."""
-    if known.lines and skel and len(line) <= 200 and key_of(skel) in known.lines:
+    if known.lines and skel and len(line) <= SHORT and key_of(skel) in known.lines:
         return True
     if not known.words or known.words.isdisjoint(line[:200].lower().split(None, 5)[:5]):
         return False
