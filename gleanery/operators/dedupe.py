@@ -36,15 +36,15 @@ def statistics(rows: DataFrame, by: str | None = "title", row_id: str = "row_id"
     return sizes.agg(total.alias("n_rows"), F.count("*").alias("n_groups"), (total - F.count("*")).alias("requests_saved"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_group"))
 
 
-def expand(rows: DataFrame, results: DataFrame, by: str | None = "title", url: str = "url", row_id: str = "row_id") -> DataFrame:
+def expand(rows: DataFrame, results: DataFrame, by: str | None = "title", url: str = "url", row_id: str = "row_id", chosen: DataFrame | None = None) -> DataFrame:
     """Every row with the result of its group's representative (results has one row per row_id at most).
 
-    A row keeps its own columns; the recovered ones come from the representative, and lineage is added.
+    ``chosen`` are the groups, if they are known already. A row keeps its own columns; the recovered ones come from the representative, and lineage is added.
     """
     members = keyed(rows, by, row_id)
     own = [c for c in members.columns if c not in RESULT_DEFAULTS and c != "dedupe_key"]
     found = [c for c in RESULT_DEFAULTS if c in results.columns]
-    chosen = groups(rows, by, url, row_id)
+    chosen = groups(rows, by, url, row_id) if chosen is None else chosen
     best = chosen.join(results.select(F.col(row_id).alias("representative_row"), *found), "representative_row", "left")
     lineage = [F.col("group_size"), F.col("representative_row"), F.col("representative_url"), (F.col("group_size") > 1).alias("scraped_once_for_group")]
     return members.select(*own, "dedupe_key").join(best, "dedupe_key", "left").select(*own, *found, "dedupe_key", *lineage)

@@ -48,13 +48,20 @@ def in_order(health: DataFrame) -> DataFrame:
     return health.orderBy(F.desc("n_rows"), F.desc("n_full_text"), "domain")
 
 
-def run_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counters of a run. Here robots and rate limits are failures too."""
+def panel(health: DataFrame, *also: str) -> DataFrame:
+    """The columns of domain health that its panel shows."""
+    shown = [c for c in GROUPS if c != "n_robots_disallowed"]
+    return health.select(*also, "domain", "n_rows", *shown, "avg_extraction_score", "avg_quality_score", "avg_alignment_score")
+
+
+def run_summary(rows: DataFrame, by: list[str] | None = None, ai_calls: int | None = None, ai_calls_saved: int | None = None, elapsed_ms: int | None = None) -> DataFrame:
+    """Counters of a run. Here robots and rate limits are failures too. What the rows don't show (model calls, time) is given by the caller."""
     aggs = [
         F.count("*").alias("input_rows"), F.count_distinct("dedupe_key").alias("jobs"), (F.count("*") - F.count_distinct("dedupe_key")).alias("requests_saved"), count_of(["full_text"]).alias("full_text_rows"),
         count_of(["partial_text", "low_confidence"]).alias("partial_rows"), count_of(["failed", "url_only", "robots_disallowed", "rate_limited"]).alias("failed_rows"),
         count_of(["bot_blocked"]).alias("bot_blocked_rows"), count_of(["auth_required"]).alias("auth_required_rows"),
     ]
+    aggs += [F.lit(v).cast("long").alias(k) for k, v in (("ai_calls", ai_calls), ("ai_calls_saved", ai_calls_saved), ("elapsed_ms", elapsed_ms)) if v is not None]
     return rows.groupBy(*(by or [])).agg(*aggs) if by else rows.agg(*aggs)
 
 
@@ -69,6 +76,6 @@ def filtered_statistics(rows: DataFrame, national: Column) -> DataFrame:
     review = F.col("review_status")
     return rows.agg(
         F.count("*").alias("n"), F.count_if(F.col("quality_label") == "full_text").alias("full_text"), F.count_if(national).alias("national"), F.count_if(national & us).alias("us_national"),
-        F.count_if(review == "approved").alias("approved"), F.count_if(review == "needs_review").alias("needs_review"),
+        F.count_if(review == "approved").alias("approved"), F.count_if(F.coalesce(review, F.lit("unreviewed")).isin("needs-better-scrape", "unreviewed")).alias("needs_review"),
         F.avg(number(F.col("quality_score"))).alias("mean_quality"), F.avg(number(F.col("summary_alignment_score"))).alias("mean_alignment"),
     )

@@ -23,13 +23,16 @@ def measured(candidates: DataFrame, min_chars: int = 300) -> DataFrame:
 
 
 def until_full(candidates: DataFrame, job: str = "job_key", everything: bool = False) -> DataFrame:
-    """Candidates of the routes up to the first whose best text is whole (text_label full_text); all of them with ``everything``."""
+    """Candidates of the routes up to the first whose best text is whole (text_label full_text); all of them with ``everything``.
+
+    Both windows are over a job's own candidates, of which routes and TOP bound the number, and share one shuffle.
+    """
     if everything:
         return candidates
-    routes = candidates.groupBy(job, "route_no").agg(F.max(F.struct("score", F.length("text").alias("n"), (-F.col("seq")).alias("s"), (F.col("text_label") == "full_text").cast("int").alias("full"))).alias("b"))
-    w = Window.partitionBy(job).orderBy("route_no").rowsBetween(Window.unboundedPreceding, -1)
-    kept = routes.withColumn("done", F.coalesce(F.max("b.full").over(w), F.lit(0))).where("done = 0").select(job, "route_no")
-    return candidates.join(kept, [job, "route_no"], "left_semi")
+    route = Window.partitionBy(job, "route_no").orderBy(F.desc("score"), F.desc(F.length("text")), "seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.partitionBy(job).orderBy("route_no").rangeBetween(Window.unboundedPreceding, -1)
+    marked = candidates.repartition(job).withColumn("_full", (F.first(F.col("text_label") == "full_text").over(route)).cast("int"))
+    return marked.withColumn("_done", F.coalesce(F.max("_full").over(before), F.lit(0))).where("_done = 0").drop("_full", "_done")
 
 
 def best(candidates: DataFrame, job: str = "job_key") -> DataFrame:
@@ -49,10 +52,10 @@ def best(candidates: DataFrame, job: str = "job_key") -> DataFrame:
 
 def snapshots(index: DataFrame, limit: int = 8) -> DataFrame:
     """Usable rows of an archive index: whole HTML pages, equal neighbours once, the first ``limit`` of each url, latest first as ``place``."""
-    w = Window.partitionBy("url").orderBy("timestamp")
+    w = Window.partitionBy("url").orderBy("timestamp", "digest")
     good = index.where("statuscode = '200' and mimetype = 'text/html'").withColumn("before", F.lag("digest").over(w)).where("before is null or before != digest").drop("before")
     first = good.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("url").orderBy(F.desc("timestamp")))).drop("n")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("url").orderBy(F.desc("timestamp"), "digest"))).drop("n")
 
 
 def snapshot_stop(candidates: DataFrame, per_snapshot: int = 4, enough: float = 82, job: str = "job_key") -> DataFrame:

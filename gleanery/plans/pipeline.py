@@ -8,6 +8,7 @@ result as JSON of a row's recovered columns, expires_at), and a model as a funct
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from gleanery.functions.constants import RESULT_DEFAULTS
 from gleanery.functions.urls import canonical_url, host
 from gleanery.operators import dedupe, enrich, extract, health, rank
 from gleanery.plans.options import Options
+from gleanery.session import checkpointed
 from gleanery.sources import io
 
 
@@ -29,9 +31,8 @@ class Run:
     health: DataFrame
 
 
-def jobs_of(rows: DataFrame, o: Options) -> DataFrame:
-    """(job_key, row_id, url, host) of the representatives; url is '' where it is none."""
-    chosen = dedupe.groups(rows, o.group_column, o.url_column)
+def jobs_of(chosen: DataFrame) -> DataFrame:
+    """(job_key, row_id, url, host) of the groups' representatives; url is '' where it is none."""
     return chosen.select(F.col("dedupe_key").alias("job_key"), F.col("representative_row").alias("row_id"), canonical_url("representative_url").alias("url")).withColumn("host", host(F.col("url")))
 
 
@@ -111,8 +112,17 @@ def run(
     now: Column | None = None,
     model: Callable[[str], str] | None = None,
 ) -> Run:
+    """One run. Sources that the options ask for and that aren't given are an error, as are options that leave no source at all.
+
+    The groups and the results are checkpointed, so that pages are extracted once for rows, summary and health.
+    """
+    began = time.monotonic()
     o = o.tuned()
-    todo = jobs_of(rows, o)
+    given_ = {"live": live is not None, "reader": reader is not None, "archive": index is not None and pages is not None}
+    if missing := [r for r in o.routes() if not given_[r]]:
+        raise ValueError(f"the options ask for sources that aren't given: {', '.join(missing)}")
+    chosen = checkpointed(dedupe.groups(rows, o.group_column, o.url_column))
+    todo = jobs_of(chosen)
     hits = None
     if cache is not None:
         hits, todo = io.cached(todo.withColumn("cache_key", cache_key(F.col("url"), o)), cache, F.current_timestamp() if now is None else now)
@@ -121,7 +131,12 @@ def run(
     if hits is not None:
         kept = hits.select("row_id", F.from_json("result", results.drop("row_id").schema).alias("r")).select("row_id", "r.*")
         results = results.unionByName(kept)
-    full = dedupe.expand(rows, results, o.group_column, o.url_column)
+    full = dedupe.expand(rows, checkpointed(results), o.group_column, o.url_column, chosen=chosen)
+    calls = saved = 0
+    if o.enable_ai:
+        full = checkpointed(analysed(full, o, model))
+        calls = full.select("ai_key").distinct().count()
+        saved = full.count() - calls
     domain = health.domain_of("source_url_used", "canonical_url", o.url_column)
-    summary, states = health.run_summary(full), health.in_order(health.domain_health(full, domain))
-    return Run(analysed(full, o, model) if o.enable_ai else full, summary, states)
+    elapsed = int(1000 * (time.monotonic() - began))
+    return Run(full, health.run_summary(full, None, calls, saved, elapsed), health.in_order(health.domain_health(full, domain)))

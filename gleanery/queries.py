@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,9 +52,14 @@ def p1_found(spark, d):
     return _bridge(spark, d).select("source_table", "record_id", "path", "parent_path")
 
 
+def _bodies(spark, d):
+    traces = nested.bodies(table(spark, d, "scrape_results"), "result_id", "extraction_trace_json")
+    return nested.objects(traces.unionByName(nested.bodies(table(spark, d, "ai_results"), "ai_id", "evidence_json")))
+
+
 @query("p1_objects")
 def p1_objects(spark, d):
-    return nested.objects(_bridge(spark, d))
+    return _bodies(spark, d)
 
 
 @query("p1_edges")
@@ -63,7 +69,19 @@ def p1_edges(spark, d):
 
 @query("p1_fields")
 def p1_fields(spark, d):
-    return nested.fields(nested.objects(_bridge(spark, d)))
+    return nested.fields(_bodies(spark, d))
+
+
+@query("p1_depths", _OBJECTS + r"SELECT source_table, len(regexp_extract_all(path, '\.'))::INT AS depth, count(*) AS n_objects, count(DISTINCT record_id) AS n_records FROM places GROUP BY ALL")
+def p1_depths(spark, d):
+    """How many objects of how many records stand at each depth."""
+    return _bridge(spark, d).groupBy("source_table", "depth").agg(F.count("*").alias("n_objects"), F.countDistinct("record_id").alias("n_records"))
+
+
+@query("p1_links", _OBJECTS + r"""SELECT source_table, record_id, path, regexp_extract(up, '\.([^.\[]*)$', 1) AS field, CASE WHEN path LIKE '%]' THEN regexp_extract(path, '\[(\d+)\]$', 1)::INT END AS item FROM places""")
+def p1_links(spark, d):
+    """Of each object the parent's field it stands in and its place in that field's array."""
+    return _bridge(spark, d).select("source_table", "record_id", "path", "field", "item")
 
 
 # --- texts: cleaning, measures, scores, labels -------------------------------------------------------------------
@@ -340,20 +358,21 @@ def chunk_merge(spark, d):
     return health.merged(table(spark, d, "domain_health").drop("run_id"), "domain")
 
 
-_REVIEWED = """reviews AS (SELECT row_id, arg_max(lower(review_status), struct_pack(a := coalesce(reviewed_at, TIMESTAMPTZ '0001-01-01'), b := review_id)) AS review_status FROM review_labels WHERE trim(review_status) != '' GROUP BY row_id),
-rows AS (SELECT s.* EXCLUDE (extraction_trace_json), quality_score, summary_alignment_score, outlet_country, is_national_outlet, ai_verification_status, headline, executive_summary, coalesce(nullif(review_status, ''), 'unreviewed') AS review_status
-  FROM scrape_results s LEFT JOIN ai USING (row_id) LEFT JOIN reviews USING (row_id))"""
+_ROW_KEY = "concat_ws('::', coalesce(nullif(source_url_used, ''), nullif(canonical_url, ''), ''), coalesce(nullif(extracted_headline, ''), nullif(headline, ''), ''), coalesce(dedupe_key, ''), '0')"
+_REVIEWED = f"""reviews AS (SELECT row_key, arg_max(lower(review_status), struct_pack(a := coalesce(reviewed_at, TIMESTAMPTZ '0001-01-01'), b := review_id)) AS review_status FROM review_labels WHERE trim(review_status) != '' GROUP BY row_key),
+keyed AS (SELECT s.* EXCLUDE (extraction_trace_json), quality_score, summary_alignment_score, outlet_country, is_national_outlet, ai_verification_status, headline, executive_summary FROM scrape_results s LEFT JOIN ai USING (row_id)),
+rows AS (SELECT k.*, coalesce(nullif(review_status, ''), 'unreviewed') AS review_status FROM (SELECT *, {_ROW_KEY} AS row_key FROM keyed) k LEFT JOIN reviews USING (row_key))"""
 
 
 def _reviewed(spark, d):
-    return views.with_review(_joined(spark, d), table(spark, d, "review_labels"), "row_id")
+    return views.with_review(_joined(spark, d), table(spark, d, "review_labels"))
 
 
 _US = f"lower(trim(coalesce(outlet_country, ''))) IN {_quoted(US_NAMES)}"
 
 
 @query("filtered_statistics", f"WITH {_AI_LATEST}, {_REVIEWED}" + f"""SELECT count(*) AS n, count_if(quality_label = 'full_text') AS full_text, count_if(is_national_outlet) AS "national", count_if(is_national_outlet AND {_US}) AS us_national,
-  count_if(review_status = 'approved') AS approved, count_if(review_status = 'needs_review') AS needs_review, avg(quality_score::DOUBLE) AS mean_quality, avg(summary_alignment_score::DOUBLE) AS mean_alignment FROM rows""")
+  count_if(review_status = 'approved') AS approved, count_if(review_status IN ('needs-better-scrape', 'unreviewed')) AS needs_review, avg(quality_score::DOUBLE) AS mean_quality, avg(summary_alignment_score::DOUBLE) AS mean_alignment FROM rows""")
 def filtered_statistics(spark, d):
     return health.filtered_statistics(_reviewed(spark, d), views.truth(F.col("is_national_outlet")))
 
@@ -366,7 +385,7 @@ def review_labels(spark, d):
 # --- filters, sorts and projections ------------------------------------------------------------------------------
 
 
-@query("filter_search", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE contains(lower(concat(" + ", ' ', ".join(f"coalesce({c}::VARCHAR, '')" for c in ("headline", "extracted_headline", "extracted_author", "extracted_site_name", "outlet_country", "executive_summary", "fetched_text", "quality_label", "ai_verification_status")) + ")), 'council')")
+@query("filter_search", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE contains(lower(concat(" + ", ' ', ".join(f"coalesce({c}::VARCHAR, '')" for c in ("extracted_headline", "headline", "''", "source_url_used", "canonical_url", "extracted_site_name", "outlet_country", "''", "ai_verification_status", "quality_label", "executive_summary", "''", "fetched_text")) + ")), 'council')")
 def filter_search(spark, d):
     return views.search(_reviewed(spark, d), " Council ").select("result_id")
 
@@ -381,12 +400,17 @@ def filter_national(spark, d):
     return views.Filter(national="yes").apply(_reviewed(spark, d)).select("result_id")
 
 
-@query("filter_country", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE {_US}")
+@query("filter_search_address", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE contains(lower(coalesce(source_url_used, '')), 'courant.example/story/')")
+def filter_search_address(spark, d):
+    return views.search(_reviewed(spark, d), "courant.example/story/", ["source_url_used"]).select("result_id")
+
+
+@query("filter_country", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE lower(trim(outlet_country)) = 'norland'")
 def filter_country(spark, d):
-    return views.Filter(country="usa").apply(_reviewed(spark, d)).select("result_id")
+    return views.Filter(country="Norland").apply(_reviewed(spark, d)).select("result_id")
 
 
-@query("filter_status", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE coalesce(nullif(ai_verification_status, ''), 'not analyzed') = 'not analyzed' AND coalesce(dedupe_group_size, 1) >= 2 AND review_status = 'unreviewed'")
+@query("filter_status", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE coalesce(ai_verification_status, 'not analyzed') = 'not analyzed' AND coalesce(dedupe_group_size, 1) >= 2 AND review_status = 'unreviewed'")
 def filter_status(spark, d):
     return views.Filter(status="not analyzed", duplicates_only=True, review="unreviewed").apply(_reviewed(spark, d)).select("result_id")
 
@@ -396,9 +420,10 @@ def preset_high_quality(spark, d):
     return views.PRESETS["high-quality"].apply(_reviewed(spark, d)).select("result_id")
 
 
-@query("preset_us_national", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE coalesce(is_national_outlet, false) AND {_US} AND quality_score >= 50")
-def preset_us_national(spark, d):
-    return views.PRESETS["us-national"].apply(_reviewed(spark, d)).select("result_id")
+@query("preset_national_country", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE coalesce(is_national_outlet, false) AND lower(trim(outlet_country)) = 'vestria' AND quality_score >= 50")
+def preset_national_country(spark, d):
+    """The preset of national outlets, of a country these tables have."""
+    return replace(views.PRESETS["us-national"], country="Vestria").apply(_reviewed(spark, d)).select("result_id")
 
 
 @query("preset_bot_blocked", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id FROM rows WHERE quality_label = 'bot_blocked'")
@@ -417,25 +442,52 @@ def sort_top_quality(spark, d):
     return views.ordered(_reviewed(spark, d), "quality", "result_id").limit(500).select("result_id", F.coalesce(F.col("quality_score").cast("double"), F.lit(0.0)).alias("quality"))
 
 
-@query("sort_by_headline")
+def _sorted(name: str, mode: str, value: str, order: str):
+    """The table view's first 500 rows by a mode; that is the view's length."""
+
+    @query(name, f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id, {value} AS value FROM rows ORDER BY {order}, 1 LIMIT 500")
+    def run(spark, d):
+        return views.ordered(_reviewed(spark, d), mode, "result_id").limit(500).select("result_id", F.coalesce(F.col(value.split("coalesce(")[1].split(",")[0]).cast("double"), F.lit(0.0)).alias("value"))
+
+
+for _mode, _column in (("alignment", "summary_alignment_score"), ("extraction", "extraction_score"), ("words", "word_count")):
+    _sorted(f"sort_top_{_mode}", _mode, f"coalesce({_column}, 0)::DOUBLE", "2 DESC")
+
+_HEADLINE = rf"(SELECT CASE WHEN length(h) > 140 THEN left(h, 140) || '...' ELSE h END FROM (SELECT {_strip(f"regexp_replace(coalesce(nullif(headline, ''), nullif(extracted_headline, ''), 'Untitled article'), '[{WS}]+', ' ', 'g')")} AS h))"
+
+
+@query("headlines", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id, {_HEADLINE} AS headline FROM rows")
+def headlines(spark, d):
+    rows = _joined(spark, d)
+    return rows.select("result_id", views.headline(rows).alias("headline"))
+
+
+@query("sort_by_headline", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id, extracted_headline FROM rows")
 def sort_by_headline(spark, d):
-    return views.ordered(_joined(spark, d).withColumn("title", F.lit("")), "headline", "result_id").select("result_id", "extracted_headline")
+    """All rows by headline; the order itself is by Unicode collation and checked in the tests."""
+    return views.ordered(_joined(spark, d), "headline", "result_id").select("result_id", "extracted_headline")
 
 
-@query("options_country", f"SELECT DISTINCT CASE WHEN c = '' THEN 'Unknown' WHEN lower(c) IN {_quoted(US_NAMES)} THEN 'United States' WHEN lower(c) IN {_quoted(UK_NAMES)} THEN 'United Kingdom' ELSE c END AS option FROM (SELECT trim(coalesce(outlet_country, '')) AS c FROM ai_results)")
+@query("options_country", f"SELECT 'Any' AS option UNION ALL SELECT DISTINCT CASE WHEN c = '' THEN 'Unknown' WHEN lower(c) IN {_quoted(US_NAMES)} THEN 'United States' WHEN lower(c) IN {_quoted(UK_NAMES)} THEN 'United Kingdom' ELSE c END AS option FROM (SELECT trim(coalesce(outlet_country, '')) AS c FROM ai_results)")
 def options_country(spark, d):
     return views.options(table(spark, d, "ai_results"), X.country(F.col("outlet_country")))
 
 
-@query("options_label", "SELECT DISTINCT quality_label AS option FROM scrape_results WHERE trim(quality_label) != ''")
+@query("options_label", "SELECT 'Any' AS option UNION ALL SELECT DISTINCT coalesce(quality_label, 'unknown') FROM scrape_results WHERE coalesce(quality_label, 'unknown') != ''")
 def options_label(spark, d):
-    return views.options(table(spark, d, "scrape_results"), F.col("quality_label"))
+    return views.options(table(spark, d, "scrape_results"), F.coalesce("quality_label", F.lit("unknown")))
 
 
-@query("row_keys", """SELECT result_id, concat_ws('::', coalesce(nullif(source_url_used, ''), nullif(canonical_url, ''), ''), coalesce(extracted_headline, ''), coalesce(dedupe_key, ''), '0') AS row_key FROM scrape_results""")
+@query("options_status", "SELECT 'Any' AS option UNION ALL SELECT DISTINCT coalesce(ai_verification_status, 'not analyzed') FROM ai_results WHERE coalesce(ai_verification_status, 'not analyzed') != ''")
+def options_status(spark, d):
+    rows = table(spark, d, "ai_results")
+    return views.options(rows, views.status_of(rows))
+
+
+@query("row_keys", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT result_id, row_key FROM rows")
 def row_keys(spark, d):
-    url = F.coalesce(F.nullif(F.col("source_url_used"), F.lit("")), F.nullif(F.col("canonical_url"), F.lit("")))
-    return table(spark, d, "scrape_results").select("result_id", views.row_key(url, F.col("extracted_headline"), F.col("dedupe_key")).alias("row_key"))
+    rows = _joined(spark, d)
+    return rows.select("result_id", views.row_key(rows).alias("row_key"))
 
 
 @query("truth_values", f"SELECT ai_id, coalesce(lower(is_national_outlet::VARCHAR) IN {_quoted(TRUE_NAMES)}, false) AS yes FROM ai_results")
@@ -443,22 +495,33 @@ def truth_values(spark, d):
     return table(spark, d, "ai_results").select("ai_id", views.truth(F.col("is_national_outlet")).alias("yes"))
 
 
-@query("visible_columns", "SELECT row_id, extracted_headline, extracted_author, extracted_date, extracted_site_name, quality_label, extraction_score, word_count, recovery_route, dedupe_group_size, source_url_used FROM scrape_results")
+@query("visible_columns", f"WITH {_AI_LATEST}, {_REVIEWED} SELECT quality_label, quality_score, summary_alignment_score, is_national_outlet, outlet_country, extracted_headline, headline, source_url_used, recovery_route, extraction_score, extraction_confidence_label, candidate_count, winning_candidate_route, word_count, dedupe_group_size, executive_summary, error_message FROM rows")
 def visible_columns(spark, d):
-    return views.visible(table(spark, d, "scrape_results"))
+    return views.visible(_joined(spark, d))
+
 
+_TRACES = """(SELECT result_id, i - 1 AS place, j FROM (SELECT result_id, unnest(range(1, json_array_length(v)::BIGINT + 1)) AS i, v FROM (SELECT result_id, extraction_trace_json::JSON AS v FROM scrape_results WHERE json_valid(extraction_trace_json) AND extraction_trace_json LIKE '[%')),
+  LATERAL (SELECT json_extract(v, '$[' || (i - 1) || ']') AS j))"""
 
-@query("trace_view", """SELECT result_id, i - 1 AS place, j->>'$.route' AS route, j->>'$.label' AS label, (j->>'$.score')::DOUBLE + 0.0::DOUBLE AS score, coalesce((j->>'$.selected')::BOOLEAN, false) AS selected
-  FROM (SELECT result_id, unnest(range(1, json_array_length(v)::BIGINT + 1)) AS i, v FROM (SELECT result_id, extraction_trace_json::JSON AS v FROM scrape_results WHERE json_valid(extraction_trace_json) AND extraction_trace_json LIKE '[%')),
-  LATERAL (SELECT json_extract(v, '$[' || (i - 1) || ']') AS j)""")
+
+@query("trace_view", f"""SELECT result_id, place, coalesce((j->>'$.selected')::BOOLEAN, false) AS selected, j->>'$.route' AS route, j->>'$.label' AS label, (j->>'$.score')::DOUBLE + 0.0::DOUBLE AS score, (j->>'$.words')::BIGINT AS words, j->>'$.statusCode' AS status,
+  floor(coalesce((j->>'$.boilerplateRatio')::DOUBLE, 0) * 100 + 0.5::DOUBLE)::BIGINT AS boilerplate_percent, left(coalesce(j->>'$.error', ''), 220) AS error FROM {_TRACES}""")
 def trace_view(spark, d):
-    shape = "array<struct<route:string,label:string,score:double,selected:boolean>>"
-    value = F.when(F.col("extraction_trace_json").startswith("["), F.try_variant_get(F.expr("try_parse_json(extraction_trace_json)"), "$", shape))
-    rows = table(spark, d, "scrape_results").select("result_id", F.posexplode(value).alias("place", "a"))
-    return rows.select("result_id", F.col("place").cast("long").alias("place"), "a.route", "a.label", "a.score", F.coalesce("a.selected", F.lit(False)).alias("selected"))
+    return views.trace(table(spark, d, "scrape_results"), "result_id")
+
+
+@query("article_detail", f"WITH {_AI_LATEST}, {_REVIEWED}, one AS (SELECT * FROM rows ORDER BY coalesce(quality_score, 0) DESC, result_id LIMIT 1 OFFSET 7) SELECT result_id, {_HEADLINE} AS detail_headline, coalesce(executive_summary, '') AS detail_summary FROM one")
+def article_detail(spark, d):
+    rows = _reviewed(spark, d)
+    return views.detail(rows, 7, F.desc(F.coalesce("quality_score", F.lit(0))), "result_id").select("result_id", "detail_headline", "detail_summary")
 
 
-@query("input_preview")
+@query("domain_panel", "SELECT run_id, domain, n_rows, n_full_text, n_partial, n_failed, n_bot_blocked, n_auth_required, n_rate_limited, avg_extraction_score, avg_quality_score, avg_alignment_score FROM domain_health")
+def domain_panel(spark, d):
+    return health.panel(table(spark, d, "domain_health"), "run_id")
+
+
+@query("input_preview", "SELECT " + ", ".join(f"(SELECT CASE WHEN length(s) > 110 THEN left(s, 110) || '...' ELSE s END FROM (SELECT {_strip(f"regexp_replace(coalesce({c}::VARCHAR, ''), '[{WS}]+', ' ', 'g')")} AS s)) AS {c}" for c in ("row_id", "run_id", "url", "title", "summary", "outlet")) + " FROM (SELECT * FROM manifest ORDER BY row_id LIMIT 5)")
 def input_preview(spark, d):
     return views.preview(table(spark, d, "manifest").orderBy("row_id"))
 
@@ -467,23 +530,25 @@ def input_preview(spark, d):
 
 
 def _candidates(spark, d):
-    """Candidates read back from the traces: one per attempt, with its own label."""
-    rows = trace_view(spark, d)
-    return rows.select("result_id", "place", "route", "label", F.coalesce("score", F.lit(0.0)).alias("score"))
+    """Candidates read back from the traces: one per attempt, with its own label and a text of its length."""
+    rows = table(spark, d, "scrape_results")
+    shape = "array<struct<chars:long>>"
+    chars = rows.select("result_id", F.posexplode(F.when(F.col("extraction_trace_json").startswith("["), F.try_variant_get(F.expr("try_parse_json(extraction_trace_json)"), "$", shape))).alias("place", "c"))
+    return trace_view(spark, d).join(chars, ["result_id", "place"]).select("result_id", "place", "route", "label", F.coalesce("score", F.lit(0.0)).alias("score"), F.repeat(F.lit("x"), F.coalesce("c.chars", F.lit(0)).cast("int")).alias("text"))
 
 
-_ATTEMPTS = SQL["trace_view"]
+_ATTEMPTS = f"SELECT result_id, place, j->>'$.route' AS route, j->>'$.label' AS label, (j->>'$.score')::DOUBLE + 0.0::DOUBLE AS score, coalesce((j->>'$.chars')::BIGINT, 0) AS chars FROM {_TRACES}"
 
 
-@query("candidate_top", f"SELECT result_id, place, score FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY score DESC, place) AS n FROM (SELECT result_id, place, coalesce(score, 0) AS score FROM ({_ATTEMPTS}))) WHERE n <= 2")
+@query("candidate_top", f"SELECT result_id, place, score FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY score DESC, chars DESC, place) AS n FROM (SELECT result_id, place, coalesce(score, 0) AS score, chars FROM ({_ATTEMPTS}))) WHERE n <= 12")
 def candidate_top(spark, d):
-    c = _candidates(spark, d).select("result_id", "place", "score", F.lit("").alias("text"), F.lit(0).alias("route_no"), F.col("place").alias("seq"))
-    return rank.top(c.drop("place"), 2, "result_id").select("result_id", F.col("seq").alias("place"), "score")
+    c = _candidates(spark, d).select("result_id", "score", "text", F.lit(0).alias("route_no"), F.col("place").alias("seq"))
+    return rank.top(c, 12, "result_id").select("result_id", F.col("seq").alias("place"), "score")
 
 
 @query("route_early_stop", f"SELECT result_id, place FROM (SELECT *, max((label = 'full_text')::INT) OVER (PARTITION BY result_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM ({_ATTEMPTS})) WHERE coalesce(done, 0) = 0")
 def route_early_stop(spark, d):
-    c = _candidates(spark, d).select("result_id", F.col("place").alias("route_no"), F.lit(0).alias("seq"), F.lit("").alias("text"), "score", F.coalesce("label", F.lit("")).alias("text_label"))
+    c = _candidates(spark, d).select("result_id", F.col("place").alias("route_no"), F.lit(0).alias("seq"), "text", "score", F.coalesce("label", F.lit("")).alias("text_label"))
     return rank.until_full(c, "result_id").select("result_id", F.col("route_no").alias("place"))
 
 
@@ -493,7 +558,10 @@ def best_candidate(spark, d):
     return c.groupBy("result_id").agg(F.max_by("place", F.struct("score", (-F.col("place")).alias("p"))).alias("place"), F.count("*").alias("candidate_count"))
 
 
-@query("archive_snapshots")
+@query("archive_snapshots", """WITH index AS (SELECT source_url_used AS url, strftime(scraped_at AT TIME ZONE 'UTC', '%Y%m%d%H%M%S') AS "timestamp", md5(coalesce(fetched_text, '')) AS digest FROM scrape_results WHERE source_url_used != '' AND scraped_at IS NOT NULL AND http_status = '200'),
+changed AS (SELECT * FROM index QUALIFY digest IS DISTINCT FROM lag(digest) OVER (PARTITION BY url ORDER BY "timestamp", digest)),
+first AS (SELECT * FROM changed QUALIFY row_number() OVER (PARTITION BY url ORDER BY "timestamp", digest) <= 8)
+SELECT url, "timestamp", digest, row_number() OVER (PARTITION BY url ORDER BY "timestamp" DESC, digest) AS place FROM first""")
 def archive_snapshots(spark, d):
     """An archive's index made of the deliveries of each address."""
     rows = table(spark, d, "scrape_results").where("source_url_used != '' and scraped_at is not null")

@@ -21,7 +21,6 @@ def session(app: str = "gleanery", cpus: str | int | None = None) -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("GLEANERY_DRIVER_MEMORY", "8g"))
         .config("spark.ui.showConsoleProgress", "false")
-        .config("gleanery.spread", str(cpus))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -38,22 +37,22 @@ def importable(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder. A local session spreads tables of fewer files than cores over all cores; on a cluster the files do that."""
+    """A table of a folder."""
     importable(spark)
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    spread = spark.conf.get("gleanery.spread", "")
-    return df.repartition(int(spread)) if spread and df.rdd.getNumPartitions() < int(spread) else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint.
 
-    The shared folder comes from ``spark.checkpoint.dir``; only a session that
-    names none (tests, notebooks) gets a folder of its own.
+    The shared folder comes from ``spark.checkpoint.dir``; only a local session that
+    names none (tests, notebooks) gets a folder of its own. On a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
     return df.checkpoint()
 

@@ -51,13 +51,24 @@ def payload(body: bytes, content_type: str = "application/json", encoding: str =
         raise ValueError("the body is no JSON") from None
     if not isinstance(value, dict) or not (value.get("csvText") or value.get("rows")):
         raise ValueError("csvText or rows must be given")
+    rows = value.get("rows") or []
+    if not isinstance(rows, list) or not all(isinstance(r, dict) and not any(isinstance(x, (dict, list)) for x in r.values()) for r in rows):
+        raise ValueError("rows must be a list of flat objects")
     return value
 
 
+def union_rows(parts: list[DataFrame]) -> DataFrame:
+    """All rows of the parts with all their columns, in the order in which they first come up; absent ones are null."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def detect(columns: list[str], kind: str) -> str | None:
     """The url, title or summary column: by exact name in order of preference, then by likeness. Without one the first column is the url."""
     exact = {"url": URL_NAMES, "title": TITLE_NAMES, "summary": SUMMARY_NAMES}[kind]
-    like = {"url": r"url|link|website", "title": r"title|headline", "summary": r"summary|abstract|description|snippet|teaser"}[kind]
+    like = {"url": r"url|link|source|website|href", "title": r"title|headline|article name|\bhed\b", "summary": r"summary|snippet|abstract|description|teaser|dek"}[kind]
     low = {c.lower().strip(): c for c in reversed(columns)}
     for name in exact:
         if name in low:
