@@ -209,7 +209,11 @@ def url_points_(spark, d):
     return table(spark, d, "manifest").select("row_id", url_points(F.col("url")).alias("points"))
 
 
-@query("url_canonical")
+_PART = "regexp_extract(u, '^https?://{}', 1, 'i')"
+
+
+@query("url_canonical", rf"""SELECT row_id, CASE WHEN host = '' THEN '' ELSE scheme || '://' || regexp_replace(host, CASE scheme WHEN 'https' THEN ':443$' ELSE ':80$' END, '') || CASE WHEN path = '' THEN '/' ELSE path END || query END AS url
+  FROM (SELECT row_id, lower(regexp_extract(u, '^(https?)://', 1, 'i')) AS scheme, lower({_PART.format('([^/?#]*)')}) AS host, {_PART.format('[^/?#]*([^?#]*)')} AS path, {_PART.format('[^?#]*([?][^#]*)')} AS query FROM (SELECT row_id, trim(coalesce(url, '')) AS u FROM manifest))""")
 def url_canonical(spark, d):
     return table(spark, d, "manifest").select("row_id", canonical_url("url").alias("url"))
 
@@ -580,29 +584,94 @@ def cache_lookup(spark, d):
 # --- pages and models --------------------------------------------------------------------------------------------
 
 
-def _pages(spark, d):
-    """Pages rendered back from the texts: a heading, paragraphs, and furniture around them."""
+def _pages(spark, d, rows=None):
+    """Pages rendered back from (key, url, title, text, by) rows, by default the documents: a heading, paragraphs and furniture,
+    with linked data, a state script, neither, or on a known site."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "url", "title", "text", F.col("source").alias("by")) if rows is None else rows
     text = F.coalesce("text", F.lit(""))
-    esc = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    body = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><nav><a href='/'>Home</a></nav><article class='story'><p>"), F.regexp_replace(esc, "\n+", "</p><p>"), F.lit("</p></article><footer>Imprint</footer></body></html>"))
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("job_key"), "url", body.alias("html"), F.lit(200).alias("http_status"), F.lit("").alias("error"))
+    esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    kind = F.pmod("key", F.lit(4))
+    name = F.coalesce("title", F.lit(""))
+    no_end = lambda c: F.replace(c, F.lit("</"), F.lit("<\\/"))
+    linked = F.concat(F.lit("<script type='application/ld+json'>"), no_end(F.to_json(F.struct(F.lit("NewsArticle").alias("@type"), name.alias("headline"), text.alias("articleBody"), F.array(F.struct(F.col("by").alias("name"))).alias("author")))), F.lit("</script>"))
+    state = F.concat(F.lit("<script>window.__INITIAL_STATE__ = "), no_end(F.to_json(F.struct(F.struct(text.alias("storyBody"), name.alias("title")).alias("story")))), F.lit(";</script>"))
+    script = F.when(kind == 1, linked).when(kind == 2, state).otherwise("")
+    body = F.concat(
+        F.lit("<html><head><title>"), esc(name), F.lit("</title>"), script, F.lit("</head><body><nav><a href='/'>Home</a></nav><article class='story'><h1>"), esc(name), F.lit("</h1><p>"), F.regexp_replace(esc(text), "\n+", "</p><p>"),
+        F.lit("</p></article><aside class='related'><p>Read more of what others read today</p></aside><footer>Imprint</footer></body></html>"),
+    )
+    url = F.when(kind == 3, F.concat(F.lit("https://www.theguardian.com/"), F.col("key").cast("string"))).otherwise(F.col("url"))
+    return rows.select(F.col("key").cast("string").alias("job_key"), "url", url.alias("page_url"), body.alias("html"), F.lit(200).alias("http_status"), F.lit("").alias("error"))
 
 
 @query("html_candidates")
 def html_candidates(spark, d):
-    return extract.extracted(_pages(spark, d)).select("job_key", "seq", "route", F.length("text").alias("chars"), F.round("score", 6).alias("score"), "title", "boilerplate_ratio")
+    return extract.extracted(_pages(spark, d).withColumn("url", F.col("page_url"))).select("job_key", "seq", "route", F.length("text").alias("chars"), F.round("score", 6).alias("score"), "title", "boilerplate_ratio")
+
+
+def _recovered_pages(spark, d):
+    """A page for each address of the manifest, from the text that was recovered from it."""
+    results = _one_result(spark, d).select("row_id", F.col("fetched_text").alias("text"), F.col("extracted_author").alias("by"))
+    rows = table(spark, d, "manifest").join(results, "row_id").select(F.col("row_id").alias("key"), canonical_url("url").alias("url"), "title", "text", "by").where("url != '' and length(text) > 0")
+    w = Window.partitionBy("url").orderBy("key")
+    return _pages(spark, d, rows.withColumn("_n", F.row_number().over(w)).where("_n = 1")).select("url", "html", "http_status", "error")
+
+
+def _archive(pages):
+    shots = pages.select("url", F.col("url").alias("original"), F.lit("20240101000000").alias("timestamp"), "html", "http_status")
+    index = shots.select("url", "timestamp", "original", F.lit("200").alias("statuscode"), F.lit("text/html").alias("mimetype"), F.md5("html").alias("digest"))
+    return {"index": index, "pages": shots.select("timestamp", "original", "html", "http_status")}
+
+
+_RUN = ["row_id", "dedupe_key", "quality_label", "extraction_score", "word_count", "recovery_route", "group_size"]
 
 
 @query("pipeline_rows")
 def pipeline_rows(spark, d):
-    """The whole run over the manifest by all routes: the documents with the same address are live, with the reader or in the archive, a third each."""
-    every = _pages(spark, d).select(canonical_url("url").alias("url"), "html", "http_status", "error").where("url != ''").dropDuplicates(["url"])
+    """The whole run over the manifest by all routes: a third each of its pages is live, with the reader or in the archive."""
+    every = _recovered_pages(spark, d)
     third = lambda n: every.where(F.pmod(F.crc32("url"), F.lit(3)) == n)
-    shots = third(2).select("url", F.col("url").alias("original"), F.lit("20240101000000").alias("timestamp"), "html", "http_status")
-    index = shots.select("url", "timestamp", "original", F.lit("200").alias("statuscode"), F.lit("text/html").alias("mimetype"), F.md5("html").alias("digest"))
     reader = third(1).select("url", F.regexp_replace(F.regexp_replace("html", "</p>", "\n\n"), "<[^>]*>", " ").alias("body"), "http_status")
-    run = pipeline.run(table(spark, d, "manifest"), Options(), live=third(0), reader=reader, index=index, pages=shots.select("timestamp", "original", "html", "http_status"))
-    return run.rows.select("row_id", "dedupe_key", "quality_label", "extraction_score", "word_count", "recovery_route", "group_size")
+    return pipeline.run(table(spark, d, "manifest"), Options(), live=third(0), reader=reader, **_archive(third(2))).rows.select(*_RUN)
+
+
+@query("pipeline_archive")
+def pipeline_archive(spark, d):
+    """The run from the archive alone."""
+    return pipeline.run(table(spark, d, "manifest"), Options(route="archive-only"), **_archive(_recovered_pages(spark, d))).rows.select(*_RUN)
+
+
+def _cached_run(spark, d, **more):
+    """A run that finds earlier results in the cache and no page at all."""
+    o = Options(route="live-only", **more)
+    kept = F.to_json(F.struct("fetched_text", "quality_label", "word_count"))
+    cache = _one_result(spark, d).where("source_url_used != '' and quality_label != ''").withColumn("url", canonical_url("source_url_used"))
+    cache = cache.select(pipeline.cache_key(F.col("url"), o.tuned()).alias("cache_key"), kept.alias("result"), F.coalesce("loaded_at", F.lit("2024-01-01").cast("timestamp")).alias("expires_at"))
+    none = spark.createDataFrame([], "url string, html string, http_status int, error string")
+    return pipeline.run(table(spark, d, "manifest"), o, live=none, cache=cache, now=F.lit("2000-01-01").cast("timestamp"), model=_stub if o.enable_ai else None)
+
+
+_CANONICAL = SQL["url_canonical"]
+_CACHED = _KEYED + f""", {_LATEST},
+canonical AS ({_CANONICAL}),
+places AS (SELECT result_id AS row_id, source_url_used AS url FROM latest WHERE source_url_used != '' AND quality_label != ''),
+cache AS (SELECT c.url, arg_max(struct_pack(fetched_text, quality_label, word_count), struct_pack(a := coalesce(loaded_at, TIMESTAMPTZ '2024-01-01'), b := to_json(struct_pack(fetched_text, quality_label, word_count))::VARCHAR)) AS r
+  FROM ({_CANONICAL.replace('FROM manifest', 'FROM places')}) c JOIN latest l ON l.result_id = c.row_id GROUP BY 1),
+run AS (SELECT k.row_id, k.dedupe_key, k.summary, c.url, r, g.group_size FROM keyed k JOIN grouped g USING (dedupe_key) JOIN canonical c ON c.row_id = g.representative_row LEFT JOIN cache h ON h.url = c.url)
+"""
+
+
+@query("pipeline_cached", _CACHED + "SELECT row_id, dedupe_key, group_size, CASE WHEN r IS NOT NULL THEN r.quality_label WHEN url = '' THEN 'url_only' ELSE 'failed' END AS quality_label FROM run")
+def pipeline_cached(spark, d):
+    """The run over a cache that holds the earlier results."""
+    return _cached_run(spark, d).rows.select("row_id", "dedupe_key", "group_size", "quality_label")
+
+
+@query("pipeline_ai", _CACHED + f""", asked AS (SELECT count(DISTINCT dedupe_key || '::summary::' || {_KEY('summary')}) AS calls, count(*) AS n FROM run)
+SELECT n AS input_rows, (SELECT count(*) FROM grouped) AS jobs, calls AS ai_calls, n - calls AS ai_calls_saved FROM asked""")
+def pipeline_ai(spark, d):
+    """The counters of a run whose rows a model judges, one call for equal stories with equal summaries."""
+    return _cached_run(spark, d, enable_ai=True).summary.select("input_rows", "jobs", "ai_calls", "ai_calls_saved")
 
 
 @query("list_values", "SELECT row_id, list_filter(list_transform(string_split_regex(coalesce(summary, ''), '[,|]'), lambda x: trim(x)), lambda x: x != '')[1:12] AS items FROM manifest")
@@ -620,10 +689,13 @@ def evidence_values(spark, d):
     return rows.select("ai_id", (F.col("p") + 1).cast("long").alias("place"), "e.claim", "e.quote", "e.relevance")
 
 
-@query("model_calls")
+@query("model_calls", _REUSE.replace("keyed AS (SELECT row_id,", "keyed AS (SELECT row_id, result_id, fetched_text,").replace("based AS (SELECT row_id,", "based AS (SELECT row_id, result_id, fetched_text,") + rf""",
+jobs AS (SELECT ai_key, length({_strip("arg_min(coalesce(fetched_text, ''), struct_pack(a := row_id, b := result_id))")}) AS n FROM keyed GROUP BY ai_key)
+SELECT ai_key, CASE WHEN n < 50 THEN 'REJECTED_EMPTY_TEXT' ELSE 'VERIFIED' END AS ai_verification_status, CASE WHEN n < 50 THEN 0 ELSE n % 101 END::INT AS quality_score, CASE WHEN n < 50 THEN 0 ELSE 1 END::INT AS evidence_count FROM jobs""")
 def model_calls(spark, d):
     """A stub model answers for each distinct article; equal articles share a call."""
-    rows = table(spark, d, "scrape_results").withColumn("ai_key", _reuse_key()).groupBy("ai_key").agg(F.min_by(F.coalesce("fetched_text", F.lit("")), "row_id").alias("text"))
+    first = F.min_by(F.coalesce("fetched_text", F.lit("")), F.struct("row_id", "result_id"))
+    rows = table(spark, d, "scrape_results").withColumn("ai_key", _reuse_key()).groupBy("ai_key").agg(first.alias("text"))
     jobs = rows.select("ai_key", X.evidence_pack(F.col("text")).alias("pack"))
     return enrich.analysed(jobs, _stub).select("ai_key", "ai_verification_status", "quality_score", "evidence_count")
 
