@@ -2,13 +2,16 @@
 
 The passages of the items form a BM25 index whose terms are pairs of neighbouring words, for single words are shared with
 most of the corpus. Their inverse frequencies are the corpus's, from a count over all documents. Only distinctive pairs (those
-in few documents; the others add little to a score) are kept: a posting list with impacts for each, and per block of items its largest impact (block-max). In a document every stretch of RUN words, with
-some slack, that begins with a distinctive pair is a query, so every passage of the document is asked for. Running sums over
-the block maxima bound a query's score in each block; only blocks whose bound reaches their lowest threshold are scored
-exactly, which is what block-max WAND skips by. An item's threshold is PART of the least score of any RUN words of its
+in few documents; the others add little to a score) are kept: a posting list with impacts for each, its largest impact, and the
+largest of each block of items it has postings in (block-max). All are sparse rows, so the index grows with the postings. In a
+document every stretch of RUN words, with some slack, that begins with a distinctive pair is a query, so every passage of the
+document is asked for. A query is evaluated as block-max WAND does, for all queries of a document at once: sums of the lists' maxima give the
+pivots, queries that can reach no threshold go no further; of the rest the sums of block maxima bound the score in each
+block; only the postings of blocks whose bound reaches their lowest threshold are read and scored exactly. An item's threshold is PART of the least score of any RUN words of its
 passage; a replaced word takes two of their RUN - 1 pairs with it, so with one word in ten replaced about four fifths are left. Retrieved pairs
 are verified word by word: some RUN consecutive words of the passage must meet the document in the same order, up to
-DRIFT words out of step, with at least KEPT of them equal.
+DRIFT words out of step, with at least KEPT of them equal; NEAR are enough where the question and the answer overlap with the
+document too, the answer as a whole and the question with at least ASKED of its words.
 
 Words are compared without case, accents, punctuation, tags and entities. The index grows with the items only, a bounded
 table, and is broadcast; documents are scanned once and nothing is shuffled. Null and empty texts and passages are
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.arrow import map_rows
 
-RUN, KEPT, DRIFT, PART = 25, 19, 1, 0.5
+RUN, KEPT, NEAR, DRIFT, PART, ASKED = 25, 19, 18, 1, 0.5, 0.6
 SLACK = 5
 K1, B, BLOCK = 0.9, 0.4, 8
 #: A pair is distinctive for an item if at most this share of the documents has it; of each item the first share that leaves it a threshold of LEAST is taken.
@@ -63,10 +66,7 @@ class Index:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.passages = [np.array([self.vocabulary[w] for w in words]) for _, words in passages]
-        self.places: list[dict[int, list[int]]] = [{} for _ in self.passages]
-        for k, p in enumerate(self.passages):
-            for j, t in enumerate(p.tolist()):
-                self.places[k].setdefault(t, []).append(j)
+        self.places: dict[int, dict[int, list[int]]] = {}  # of items that were retrieved, where their words stand
         n = len(passages)
         self.size = len(self.vocabulary) + 1
         pairs = [p[:-1] * self.size + p[1:] if len(p) > 1 else p[:0] for p in self.passages]
@@ -82,29 +82,29 @@ class Index:
         impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[item]) if n else np.zeros(0)
         spread = np.repeat(often, df)
         self.least, keep = np.zeros(n, np.float32), np.zeros(len(item), bool)
+        by_item = np.argsort(item, kind="stable")
+        limits = np.searchsorted(item[by_item], np.arange(n + 1))
         for k in range(n):
-            mine = item == k
+            mine = by_item[limits[k] : limits[k + 1]]
             for share in SHARES:
-                use = mine & (spread <= max(2, share * total))
+                use = mine[spread[mine] <= max(2, share * total)]
                 self.least[k] = self._least(pairs[k], dict(zip(term[use].tolist(), impact[use].tolist())))
                 if self.least[k] >= LEAST:
                     break
-            keep |= use
+            keep[use] = True
+        # postings by term and item; of each term its blocks, with where their postings begin and their largest impact
         self.terms = np.unique(term[keep])
-        item, impact, row = item[keep], impact[keep].astype(np.float32), np.searchsorted(self.terms, term[keep])
-        self.blocks = np.zeros((len(self.terms), -(-n // BLOCK)), np.float32)
-        np.maximum.at(self.blocks, (row, item // BLOCK), impact)
-        # of each block the exact impacts: a row for each of its terms, and row 0 for the rest
-        self.rows = np.zeros(self.blocks.shape, np.int32)
-        self.exact = []
-        for b in range(self.blocks.shape[1]):
-            own = np.flatnonzero(self.blocks[:, b])
-            self.rows[own, b] = np.arange(1, len(own) + 1)
-            scores = np.zeros((len(own) + 1, BLOCK), np.float32)
-            use = item // BLOCK == b
-            scores[self.rows[row[use], b], item[use] % BLOCK] = impact[use]
-            self.exact.append(scores)
+        row, self.item, self.impact = np.searchsorted(self.terms, term[keep]), item[keep], impact[keep].astype(np.float32)
+        order = np.lexsort((self.item, row))
+        row, self.item, self.impact = row[order], self.item[order], self.impact[order]
+        block = self.item // BLOCK
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])]) if len(row) else np.zeros(0, np.int64)
+        self.block, self.block_post = block[first], np.r_[first, len(row)]
+        self.block_max = np.maximum.reduceat(self.impact, first) if len(first) else self.impact
+        self.term_block = np.searchsorted(row[first], np.arange(len(self.terms) + 1))
+        self.term_max = np.maximum.reduceat(self.block_max, self.term_block[:-1]) if len(self.terms) else self.impact
         self.block_least = np.array([self.least[s : s + BLOCK].min() for s in range(0, n, BLOCK)], np.float32)
+        self.lowest = float(self.least.min()) if n else np.inf
 
     @staticmethod
     def _least(pairs: np.ndarray, impact: dict[int, float]) -> float:
@@ -135,23 +135,35 @@ class Index:
         at, term = self.found(ids)
         if not len(at):
             return []
+        n = len(at)
         ends = np.searchsorted(at, at + RUN + SLACK)
-        sums = np.zeros((len(at) + 1, self.blocks.shape[1]), np.float32)
-        np.cumsum(self.blocks[term], 0, out=sums[1:])
-        reached = (sums[ends] - sums[:-1] >= self.block_least - 0.01).any(0)
-        out = []
-        for b in np.flatnonzero(reached).tolist():
-            least = self.least[b * BLOCK : (b + 1) * BLOCK]
-            exact = np.zeros((len(at) + 1, len(least)), np.float32)
-            np.cumsum(self.exact[b][self.rows[term, b], : len(least)], 0, out=exact[1:])
-            out += [(int(at[w]), b * BLOCK + k) for w, k in np.argwhere(exact[ends] - exact[:-1] >= least - 0.01).tolist()]
-        return out
-
-    def verify(self, ids: np.ndarray, start: int, k: int) -> bool:
-        """Whether RUN consecutive words of the passage lie about a place of the text, KEPT of them equal and in step."""
-        passage, places = self.passages[k], self.places[k]
+        sums = np.r_[0.0, np.cumsum(self.term_max[term])]
+        pivots = np.flatnonzero(sums[ends] - sums[:n] >= self.lowest - 0.01)
+        if not len(pivots):
+            return []
+        cover = np.zeros(n + 1, np.int64)
+        np.add.at(cover, pivots, 1)
+        np.add.at(cover, ends[pivots], -1)
+        hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+        hit, entry = _expanded(hit, self.term_block[term[hit]], self.term_block[term[hit] + 1])
+        block = self.block[entry]
+        reached = _reached(block, hit, self.block_max[entry], ends, n, self.block_least)
+        use = np.isin(block, np.unique(block[reached]))
+        hit, post = _expanded(hit[use], self.block_post[entry[use]], self.block_post[entry[use] + 1])
+        item = self.item[post]
+        good = _reached(item, hit, self.impact[post], ends, n, self.least)
+        return sorted(zip(at[hit[good]].tolist(), item[good].tolist()))
+
+    def verify(self, ids: np.ndarray, start: int, k: int) -> int:
+        """How sure it is that RUN consecutive words of the passage lie about a place of the text, equal and in step: 2 for KEPT of them, 1 for NEAR."""
+        passage, places = self.passages[k], self.places.get(k)
+        if places is None:
+            places = self.places[k] = {}
+            for j, t in enumerate(passage.tolist()):
+                places.setdefault(t, []).append(j)
         run = min(RUN, len(passage))
-        kept = min(KEPT, -(-run * KEPT // RUN))
+        kept, near_ = (-(-run * x // RUN) for x in (KEPT, NEAR))
+        best = 0
         lo = max(0, start - RUN)
         diagonals: dict[int, list[int]] = {}
         for i, t in enumerate(ids[lo : start + 2 * RUN + SLACK].tolist()):
@@ -159,26 +171,45 @@ class Index:
                 for j in places.get(t, ()):
                     diagonals.setdefault(i - j, []).append(j)
         for d, own in diagonals.items():
-            if len(own) * (2 * DRIFT + 1) < kept:
+            if len(own) * (2 * DRIFT + 1) < near_:
                 continue
             mask = np.zeros(len(passage) + 1, np.int64)
             for near in range(d - DRIFT, d + DRIFT + 1):
                 mask[[j + 1 for j in diagonals.get(near, ())]] = 1
-            if mask.sum() >= kept:
+            if mask.sum() >= near_:
                 sums = np.cumsum(mask)
-                if (sums[run:] - sums[: len(sums) - run]).max() >= kept:
-                    return True
-        return False
+                most = (sums[run:] - sums[: len(sums) - run]).max()
+                if most >= kept:
+                    return 2
+                best = max(best, int(most >= near_))
+        return best
 
-    def leaked(self, text: str | None) -> list[int]:
-        """Places of the items whose passage, or a run of it, is in the text."""
+    def leaked(self, text: str | None) -> list[tuple[int, bool]]:
+        """Places of the items whose passage, or a run of it, may be in the text, and whether that is sure."""
         ids = self.ids(text)
-        done: dict[int, bool] = {}
+        done: dict[int, int] = {}
         tried: dict[int, int] = {}
         for start, k in self.retrieve(ids):
-            if not done.get(k) and start >= tried.get(k, -RUN) + RUN // 2:  # a place near one just tried shows nothing new
-                tried[k], done[k] = start, self.verify(ids, start, k)
-        return [k for k, yes in done.items() if yes]
+            if done.get(k, 0) < 2 and start >= tried.get(k, -RUN) + RUN // 2:  # a place near one just tried shows nothing new
+                tried[k], done[k] = start, max(done.get(k, 0), self.verify(ids, start, k))
+        return [(k, how == 2) for k, how in done.items() if how]
+
+
+def _expanded(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each owner as often as its range is long, with the places of the range."""
+    size = stop - start
+    return np.repeat(owner, size), np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _reached(group: np.ndarray, hit: np.ndarray, score: np.ndarray, ends: np.ndarray, n: int, least: np.ndarray) -> np.ndarray:
+    """Which (group, hit) begin a query whose scores in the group reach the group's threshold."""
+    key = group.astype(np.int64) * (n + 1) + hit
+    order = np.argsort(key, kind="stable")
+    sums = np.r_[0.0, np.cumsum(score[order], dtype=np.float64)]
+    upto = np.searchsorted(key[order], group[order].astype(np.int64) * (n + 1) + ends[hit[order]])
+    out = np.zeros(len(key), bool)
+    out[order] = sums[upto] - sums[:-1] >= least[group[order]] - 0.01
+    return out
 
 
 def index_of(documents: DataFrame, items: DataFrame, text: str = "text") -> Index:
@@ -220,12 +251,14 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                 if found:
                     words = words_of(t)
                     present, running = set(words), " " + " ".join(words) + " "
-                    for k in found:
+                    for k, sure in found:
                         q, a = questions[index.items[k]]
-                        out_key.append(key_)
-                        out_item.append(index.items[k])
-                        share.append(len(q & present) / len(q) if q else 0.0)
-                        answer.append(bool(a) and f" {' '.join(a)} " in running)
+                        asked_, whole = len(q & present) / len(q) if q else 0.0, bool(a) and f" {' '.join(a)} " in running
+                        if sure or whole and asked_ >= ASKED:
+                            out_key.append(key_)
+                            out_item.append(index.items[k])
+                            share.append(asked_)
+                            answer.append(whole)
             return out_key, out_item, share, answer
 
         return batch

@@ -45,6 +45,13 @@ def p3_repetition(spark, d):
     return repetition.measured(table(spark, d, "scrape_results"))
 
 
+@query("p3_shares", _REPEATED.replace("length(w) >= 30", "TRUE").replace("WHERE len(w) >= 30", "").rsplit("SELECT result_id FROM counted", 1)[0] + """SELECT s.result_id, coalesce(len(w), 0)::INT AS words, coalesce(n, 0)::INT AS repeated,
+  coalesce(n::DOUBLE / nullif(len(w), 0), 0.0::DOUBLE) AS repeated_share FROM scrape_results s LEFT JOIN texts USING (result_id) LEFT JOIN counted USING (result_id)""")
+def p3_shares(spark, d):
+    """The share of repeated wording in each text."""
+    return repetition.measured(table(spark, d, "scrape_results")).drop("score")
+
+
 @query("p8_ids")
 def p8_ids(spark, d):
     return tokenizer.encoded(table(spark, d, "documents"))
@@ -69,7 +76,10 @@ def p4_found(spark, d):
     return lines.occurrences(table(spark, d, "scrape_results"))
 
 
-@query("p4_cleaned")
+@query("p4_cleaned", _STANDING + """, gone AS (SELECT DISTINCT result_id, line_no FROM lines JOIN standing USING (domain, line)),
+split AS (SELECT result_id, unnest(range(len(string_split(fetched_text, chr(10))))) AS line_no, unnest(string_split(fetched_text, chr(10))) AS line FROM scrape_results WHERE fetched_text IS NOT NULL),
+kept AS (SELECT result_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM split ANTI JOIN gone USING (result_id, line_no) GROUP BY 1)
+SELECT s.result_id, coalesce(n, 0)::INT AS removed, CASE WHEN fetched_text IS NOT NULL THEN coalesce(t, '') END AS cleaned_text FROM scrape_results s LEFT JOIN kept USING (result_id) LEFT JOIN (SELECT result_id, count(*) AS n FROM gone GROUP BY 1) USING (result_id)""")
 def p4_cleaned(spark, d):
     return lines.cleaned(table(spark, d, "scrape_results"))
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from gleanery.llm import ranking as K
 
 A = "row_id long, rubric_version string, ai_verification_status string, quality_score int, summary_alignment_score int, source_reliability_score int"
@@ -33,3 +35,15 @@ def test_partitions_do_not_matter(spark):
     want = [r[0] for r in sorted(scrapes, key=lambda r: (-r[1], r[0]))]
     out = ranks(spark, scrapes, [])
     assert sorted(out, key=out.get) == want
+
+
+def test_exact_medians_in_rounds(spark):
+    import random
+    from statistics import median
+
+    r = random.Random(3)
+    groups = {"a": [r.gauss(0, 1e6) for _ in range(501)], "b": [r.random() for _ in range(400)], "c": [5.0] * 7, "d": [1.0, 2.0], "e": [r.choice([1e-300, 1.0, 1e300]) for _ in range(99)]}
+    df = spark.createDataFrame([(k, "", x) for k, v in groups.items() for x in v], "score string, population string, value double")
+    counted = df.groupBy("score", "population", "value").agg(F.count("*").alias("n"))
+    for few in (10, 10**6):
+        assert {x.score: x.middle for x in K.middles(counted, few).collect()} == {k: median(v) for k, v in groups.items()}
