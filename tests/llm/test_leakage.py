@@ -59,7 +59,8 @@ def test_question_and_answer_decide_close_cases(spark):
         piece[j] = "zzz"
     items = spark.createDataFrame([(1, " ".join(words), "what did the mayor sell", "an old mill")], "item_id long, passage string, question string, answer string")
     text = " ".join(piece)
-    docs = spark.createDataFrame([(1, text), (2, text + " so what did the mayor sell? An old mill."), (3, text + " an old mill")], "doc_id long, text string")
+    others = [(10 + i, " ".join(r.choices(["one", "two", "three", "four"], k=30))) for i in range(400)]
+    docs = spark.createDataFrame(others + [(1, text), (2, text + " so what did the mayor sell? An old mill."), (3, text + " an old mill")], "doc_id long, text string")
     assert [x.doc_id for x in K.leaks(docs, items).collect()] == [2]
 
 
