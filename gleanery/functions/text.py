@@ -6,7 +6,6 @@ Null counts as the empty string throughout, as ``clean`` coalesces first.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,39 +30,37 @@ def clean(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(sanitize(c), "[ \\t]+", " "), "\\n{3,}", "\n\n"))
 
 
-def bound(c: Column, use: Callable[[Column], Column]) -> Column:
-    """use(c) with c evaluated once, however often it is used; Catalyst would repeat it."""
-    return F.element_at(F.transform(F.array(c), use), 1)
-
-
-def hits(cleaned: Column, phrases: list[str]) -> Column:
-    """How many of the phrases a text holds, in any case."""
-    return bound(F.lower(cleaned), lambda low: sum((F.contains(low, F.lit(p)).cast("int") for p in phrases), F.lit(0)))
+def hits(low: Column, phrases: list[str]) -> Column:
+    """How many of the phrases a text in lower case holds."""
+    return sum((F.contains(low, F.lit(p)).cast("int") for p in phrases), F.lit(0))
 
 
 def paragraphs(cleaned: Column) -> Column:
     return F.split(cleaned, f"\\n[{WS}]*\\n", -1)
 
 
-def metrics(cleaned: Column) -> dict[str, Column]:
-    """chars, words (of ASCII word characters), paragraphs of eight words or more, sentences, phrase hits."""
-    long = F.filter(paragraphs(cleaned), lambda p: F.regexp_count(p, F.lit(f"[{WS}]+")) >= 7)
+def metrics(cleaned: Column, low: Column, paras: Column) -> dict[str, Column]:
+    """chars, words (of ASCII word characters), paragraphs of eight words or more, sentences, phrase hits; given a cleaned text, the same in
+    lower case and its paragraphs."""
     return {
         "chars": F.length(cleaned),
         "words": F.regexp_count(cleaned, F.lit("(?<![A-Za-z0-9_])[A-Za-z0-9_]+[A-Za-z0-9_'-]*")),
-        "paragraphs": F.size(long),
+        "paragraphs": F.size(F.filter(paras, lambda p: F.regexp_count(p, F.lit(f"[{WS}]+")) >= 7)),
         "sentences": F.regexp_count(cleaned, F.lit(f"[.!?](?:[{WS}]|\\z)")),
-        "junk_hits": hits(cleaned, JUNK),
-        "auth_hits": hits(cleaned, AUTH),
-        "bot_hits": hits(cleaned, BOT),
+        "junk_hits": hits(low, JUNK),
+        "auth_hits": hits(low, AUTH),
+        "bot_hits": hits(low, BOT),
     }
 
 
-def duplicate_ratio(cleaned: Column) -> Column:
-    """Share of paragraphs whose first 260 letters and digits stood before, of those with more than 60."""
-    marks = F.filter(F.transform(paragraphs(cleaned), lambda p: F.substring(F.regexp_replace(F.lower(p), "[^A-Za-z0-9_]+", ""), 1, 260)), lambda p: F.length(p) > 60)
-    share = lambda m: F.when(F.size(m) > 0, F.floor((F.size(m) - F.size(F.array_distinct(m))) / F.size(m) * 1000 + 0.5) / 1000).otherwise(0.0)
-    return bound(marks, share)
+def marks(low_paras: Column) -> Column:
+    """The first 260 letters and digits of each paragraph that has more than 60."""
+    return F.filter(F.transform(low_paras, lambda p: F.substring(F.regexp_replace(p, "[^a-z0-9_]+", ""), 1, 260)), lambda p: F.length(p) > 60)
+
+
+def duplicate_ratio(m: Column) -> Column:
+    """Share of marks that stood before."""
+    return F.when(F.size(m) > 0, F.floor((F.size(m) - F.size(F.array_distinct(m))) / F.size(m) * 1000 + 0.5) / 1000).otherwise(0.0)
 
 
 def tenth(c: Column) -> Column:
@@ -97,13 +94,18 @@ def confidence(points: Column, quality: Column) -> Column:
 
 
 def judged(df, text: str, status: Column | None = None, min_chars: int = 300):
-    """df with all measures of a text column: its metrics, duplicate ratio, score, label and confidence."""
+    """df with all measures of a text column: its metrics, duplicate ratio, score, label and confidence.
+
+    What several measures share is a column of its own, which the optimizer keeps apart, so each is computed once.
+    """
     out = df.withColumn("_clean", clean(F.col(text)))
-    out = out.withColumns(metrics(F.col("_clean")) | {"duplicate_ratio": duplicate_ratio(F.col("_clean"))})
+    out = out.withColumns({"_low": F.lower("_clean"), "_paras": paragraphs(F.col("_clean"))})
+    out = out.withColumn("_marks", marks(paragraphs(F.col("_low"))))
+    out = out.withColumns(metrics(F.col("_clean"), F.col("_low"), F.col("_paras")) | {"duplicate_ratio": duplicate_ratio(F.col("_marks"))})
     names = ["chars", "words", "paragraphs", "sentences", "junk_hits", "auth_hits", "bot_hits", "duplicate_ratio"]
     out = out.withColumn("text_score", score(*(F.col(n) for n in names), min_chars=min_chars))
     out = out.withColumn("text_label", label(F.lit("200") if status is None else status, F.col("chars"), F.col("words"), F.col("auth_hits"), F.col("bot_hits"), F.col("text_score"), min_chars))
-    return out.withColumn("confidence", confidence(F.col("text_score"), F.col("text_label"))).drop("_clean")
+    return out.withColumn("confidence", confidence(F.col("text_score"), F.col("text_label"))).drop("_clean", "_low", "_paras", "_marks")
 
 
 @F.pandas_udf(StringType())

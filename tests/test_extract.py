@@ -72,7 +72,7 @@ def test_run(spark):
     rows = spark.createDataFrame([(0, "https://a.example/1", "Storm hits coast", "s"), (1, "https://a.example/1?x=1", "Storm hits coast", "s"), (2, "not a url", "Another story here", "s"), (3, "https://r.example/no", "A third story here", "s")], "row_id long, url string, title string, summary string")
     live = spark.createDataFrame([("https://a.example/1", page(f"<article><p>{LONG}</p></article>"), 200, "")], "url string, html string, http_status int, error string")
     robots = spark.createDataFrame([("r.example", "User-agent: *\nDisallow: /", 200)], "host string, robots_txt string, http_status int")
-    run = pipeline.run(rows, Options(), live=live, robots=robots)
+    run = pipeline.run(rows, Options(route="live-only"), live=live, robots=robots)
     out = {r.row_id: r for r in run.rows.collect()}
     assert len(out) == 4 and out[0].fetched_text == out[1].fetched_text != "" and out[1].scraped_once_for_group
     assert out[2].quality_label == "url_only" and out[3].quality_label == "robots_disallowed"
