@@ -29,6 +29,7 @@ LEAST_TEXTS, SHARE = 5, 10
 COUNTERS = 2048
 #: A candidate or confirmed set of up to so many (domain, line) rows is broadcast, 24 bytes each; a larger one is joined by shuffle.
 BROADCAST_ROWS = 400_000
+SALTS = 32
 
 _other = re.compile(r"[\W\d_]+")
 
@@ -124,6 +125,15 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if broadcastable(df, BROADCAST_ROWS) else df
 
 
+def _matched(rows: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """rows joined to known lines (domain, line): broadcast behind a count, else by shuffle in SALTS parts a line, for a standing line of
+    the largest site may hold a large share of all rows."""
+    if broadcastable(known, BROADCAST_ROWS):
+        return rows.join(F.broadcast(known), ["domain", "line"], how)
+    parts = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("copy", F.lit(SALTS)).cast("int")).join(parts, ["domain", "line", "salt"], how).drop("salt")
+
+
 def occurrences(df: DataFrame, key: str = "result_id", text: str = "fetched_text", domain: Column | None = None, counters: int = COUNTERS) -> DataFrame:
     """(key, line_no) of each standing line of each text."""
     texts = _texts(df, key, text, page_domain() if domain is None else domain)
@@ -147,9 +157,9 @@ def occurrences(df: DataFrame, key: str = "result_id", text: str = "fetched_text
         return batch
 
     lines = map_rows(texts, [key, "_domain", "_text"], make, f"{key} {kind}, domain string, copy long, line_no int, line long")
-    hits = checkpointed(lines.join(_small(likely), ["domain", "line"]))
+    hits = checkpointed(_matched(lines, likely, "inner"))
     confirmed = hits.select("domain", "line", "copy", "least").distinct().groupBy("domain", "line").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("domain", "line")
-    return hits.join(_small(confirmed), ["domain", "line"], "left_semi").select(key, "line_no")
+    return _matched(hits, checkpointed(confirmed), "left_semi").select(key, "line_no")
 
 
 def cleaned(df: DataFrame, key: str = "result_id", text: str = "fetched_text", domain: Column | None = None) -> DataFrame:

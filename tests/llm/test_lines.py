@@ -66,3 +66,10 @@ def test_lines_dropped_from_all_summaries(spark):
     assert sorted((r.result_id, r.line_no) for r in found.collect()) == brute(data)
     limits = L.summaries(L._texts(df, "result_id", "fetched_text", F.col("d")), 8).where("line = 0 and domain = 'long.example'").first()
     assert limits.error >= 6
+
+
+def test_the_shuffle_join_gives_the_same_rows(spark, monkeypatch):
+    data = rows(3)
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    found = L.occurrences(frame(spark, data), domain=F.col("d"))
+    assert sorted((r.result_id, r.line_no) for r in found.collect()) == brute(data)
