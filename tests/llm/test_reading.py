@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm import reading as R
 
@@ -44,6 +45,53 @@ def test_frame(spark):
     assert R.levels(d.limit(0), labels).count() == 0
 
 
+def test_all_rated_documents_are_learned_from(spark):
+    r = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = ["zz" + letters[i // 26] + letters[i % 26] for i in range(60)]
+    rows = [(i, " ".join([r.choice(PLAIN + HARD + GLUE) for _ in range(5)] + rare[i // 3 : i // 3 + 1]), r.choice(["en", "DE", None, "ja"]), r.choice([1, 2, 3])) for i in range(12600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, level int")
+    got = R.train(d, d.select("doc_id", F.col("level").alias("reading_level")))
+    whole = R.fit_models([t for _, t, _, _ in rows], np.array([k for *_, k in rows], float), [x for _, _, x, _ in rows])
+    assert set(rare) <= set(got.model.vocabulary) and got.model.vocabulary == whole.vocabulary
+    for name in ("pairs", "pair_gain", "word_gain", "spoken"):
+        assert np.array_equal(getattr(got.model, name), getattr(whole, name))
+
+
+def test_models_of_a_fold_are_those_of_the_others(spark):
+    texts, levels = sample(90, 9)
+    d = spark.createDataFrame([(i, f"{t} only{'abcdefghijklmnop'[i % 16]}", "en" if i % 3 else "fr", float(k)) for i, (t, k) in enumerate(zip(texts, levels))], "doc_id long, text string, lang string, level double")
+    d = d.withColumn("part", F.pmod(F.col("doc_id"), F.lit(R.FOLDS)).cast("int"))
+    rows, counts = d.collect(), R.counted(d)
+    for away in range(-1, R.FOLDS):
+        rest = [x for x in rows if x.part != away]
+        whole, got = R.fit_models([x.text for x in rest], np.array([x.level for x in rest]), [x.lang for x in rest]), counts.model(away)
+        assert got.vocabulary == whole.vocabulary
+        for name in ("pairs", "pair_gain", "word_gain", "spoken"):
+            assert np.array_equal(getattr(got, name), getattr(whole, name))
+
+
+def test_maps_of_pieces_are_those_of_all_measures(spark):
+    r = np.random.default_rng(3)
+    language = r.choice(5, 4000, p=[0.6, 0.25, 0.14, 0.01, 0])
+    rating = r.choice([1.0, 1.5, 2.0, 2.5, 3.0], 4000)
+    x = np.round(r.normal(size=(4000, 4)) + rating[:, None] * r.random((4000, 4)), 2)
+    x[:1000, 2:] = 0
+    order = np.argsort(-rating, kind="stable")
+    whole = R.reader_of(None, x[order], language[order], rating[order])
+    df = spark.createDataFrame([(float(k), int(j), *map(float, row)) for k, j, row in zip(rating, language, x)], "level double, language int, x0 double, x1 double, x2 double, x3 double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        maps, mixes = R.maps_of(df.repartition(7))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert mixes == whole.mixes
+    for got, of in zip(maps, whole.maps):
+        for (a, b), (c, d) in zip(got, of):
+            assert np.array_equal(a, c) and np.allclose(b, d, atol=1e-12)
+
+
 @pytest.mark.parametrize("texts", [[], [None], ["", " "]])
 def test_nothing_to_learn_from(texts):
     reader = R.fit([], np.zeros(0), [])
